@@ -1,7 +1,7 @@
 """The queries of this folder and their SQL."""
 
-from lectern.llm import normal, split
+from lectern.llm import mix, normal, pack, split
 
-_ALL = [normal, split]
+_ALL = [normal, pack, mix, split]
 QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _ALL for k, v in m.SQL.items()}
