@@ -68,29 +68,35 @@ def char_class(chars) -> str:
 
 
 @cache
-def _plain_tables() -> tuple[dict, re.Pattern, re.Pattern, dict, dict]:
+def _plain_tables() -> tuple[dict, frozenset, frozenset, re.Pattern, dict, dict]:
     t = tables()
     fold = {ord(k): v for k, v in {**t["styled"], **t["marks"]}.items()} | {ord(c): None for c in t["invisible"]} | {ord(c): " " for c in SPACES}
-    odd = re.compile("[Ͱ-ϿЀ-ԯ԰-֏Ꭰ-᏿" + "".join(ARABIC_LOOKALIKES) + "]")
-    word = re.compile(r"[^\W_]+")
-    return fold, odd, word, str.maketrans(LATIN_LOOKALIKES), str.maketrans(ARABIC_LOOKALIKES)
+    spans = ((0x370, 0x400), (0x400, 0x530), (0x530, 0x590), (0x13A0, 0x1400))
+    script = frozenset(map(chr, (p for a, b in spans for p in range(a, b)))) | frozenset(ARABIC_LOOKALIKES)
+    marks = map(chr, [*range(0x300, 0x370), 0x653, 0x654, 0x655])
+    return fold, script | frozenset(map(chr, fold)) | frozenset(marks), script, re.compile(r"[^\W_]+"), str.maketrans(LATIN_LOOKALIKES), str.maketrans(ARABIC_LOOKALIKES)
 
 
 def canonical(text: str) -> str:
     """The one form of a text, in plain Python: the same rules as the operator in ``normal``, for operators that compare words. Keeps line breaks."""
     if text.isascii():
         return text
-    fold, odd, word, latin, arabic = _plain_tables()
-    text = unicodedata.normalize("NFC", text.translate(fold))
-    if not odd.search(text):
+    fold, any_odd, odd, word, latin, arabic = _plain_tables()
+    if any_odd.isdisjoint(text):
         return text
 
     def fix(m: re.Match) -> str:
         w = m.group()
-        if not odd.search(w):
+        if odd.isdisjoint(w):
             return w
-        if any(c in ARABIC_LOOKALIKES for c in w):
+        if not ARABIC_LOOKALIKES.keys().isdisjoint(w):
             return w if w in PERSIAN_WORDS or any(c in PERSIAN_ONLY for c in w) else w.translate(arabic)
-        return w.translate(latin) if any(c < "ɐ" and c.isalpha() for c in w) or all(c in LATIN_LOOKALIKES for c in w if c.isalpha()) and len(w) < 3 else w
+        return w.translate(latin) if any(c < "\u0250" and c.isalpha() for c in w) or all(c in LATIN_LOOKALIKES for c in w if c.isalpha()) and len(w) < 3 else w
 
-    return word.sub(fix, text)
+    def line(x: str) -> str:
+        if any_odd.isdisjoint(x):
+            return x
+        x = unicodedata.normalize("NFC", x.translate(fold))
+        return x if odd.isdisjoint(x) else word.sub(fix, x)
+
+    return "\n".join(map(line, text.split("\n")))
