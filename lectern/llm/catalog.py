@@ -1,7 +1,7 @@
 """The queries of this folder and their SQL."""
 
-from lectern.llm import language, mix, normal, pack, split
+from lectern.llm import language, mix, normal, pack, scans, split
 
-_ALL = [language, normal, pack, mix, split]
+_ALL = [language, normal, scans, pack, mix, split]
 QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _ALL for k, v in m.SQL.items()}

@@ -42,10 +42,13 @@ _OUT = pa.schema([("origin", pa.string()), ("item_id", pa.int64()), ("source", p
 
 def fit(texts: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """The word model, from the ``sample_rows`` labelled rows of each origin with the least hash (the same share of all parts of the table)."""
-    labelled = texts.where("text is not null and label is not null").withColumn("_h", F.xxhash64("item_id"))
-    origins = [r.origin for r in texts.select("origin").distinct().collect()]
-    parts = [labelled.where(F.col("origin") == o).orderBy("_h").limit(sample_rows).select("text", "label") for o in sorted(origins)]
-    return train((r.text, r.label) for r in (reduce(DataFrame.union, parts).collect() if parts else []))
+    labelled = texts.where("text is not null and label is not null").withColumn("_h", F.xxhash64("item_id").bitwiseAND(F.lit(0xFFFFFFFF)))
+    counts = {r.origin: r["count"] for r in labelled.groupBy("origin").count().collect()}
+    if not counts:
+        return train([])
+    # Only rows below a hash of which about twice as many are expected go to the sort, so that it stays as small at any size of the table.
+    parts = [labelled.where((F.col("origin") == o) & (F.col("_h") <= int(min(1.0, 2 * sample_rows / n) * 0xFFFFFFFF))).orderBy("_h").limit(sample_rows).select("text", "label") for o, n in sorted(counts.items())]
+    return train((r.text, r.label) for r in reduce(DataFrame.union, parts).collect())
 
 
 def _signals(texts: DataFrame, model: LanguageModel) -> DataFrame:
