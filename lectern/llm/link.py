@@ -75,58 +75,65 @@ def people(df: DataFrame) -> DataFrame:
     return df.where("id is not null and trim(name) <> ''").mapInArrow(run, _PERSON)
 
 
+def token_stats(persons: DataFrame) -> DataFrame:
+    """Distinct tokens of more than one letter: their number of uses, whether they are family names (stand last at least as often as not), consonants and q-grams."""
+    cut = F.udf(lambda t: (grams(t), "~" + s if len(s := skeleton(t)) > 1 else None), "struct<g:array<string>,bone:string>")
+    places = persons.select(F.posexplode("tokens").alias("k", "token"), F.size("tokens").alias("of")).where("length(token) > 1")
+    stats = places.groupBy("token").agg(F.count("*").alias("n"), F.count_if(F.col("k") == F.col("of") - 1).alias("last"))
+    return stats.select("token", "n", (F.col("last") * 2 >= F.col("n")).alias("family"), cut("token").alias("x")).select("token", "n", "family", "x.*")
+
+
 def similar_tokens(tokens: DataFrame) -> DataFrame:
-    """(token, other) for distinct tokens (token, n) whose q-grams are at least TOKEN_SIMILARITY alike, other being the more frequent (then the lesser).
+    """(token, other) for distinct tokens (token, n, g) whose q-grams are at least TOKEN_SIMILARITY alike, other being the more frequent (then the lesser).
 
     Prefix filter: two sets that are so similar share one of the rarest grams of each, namely of its first size - ceil(t * size) + 1; only tokens sharing such a gram
     (and of sizes that allow the similarity) are compared. Grams are ordered by their number of tokens, counted over all.
     """
-    cut = F.udf(grams, "array<string>")  # on distinct tokens only
-    listed = stored(tokens.where(F.length("token") >= 4).select("token", "n", cut("token").alias("g")))
-    each = listed.select("token", "n", F.size("g").alias("size"), "g", F.explode("g").alias("gram"))
+    each = tokens.where(F.length("token") >= 4).select("token", "n", F.size("g").alias("size"), F.explode("g").alias("gram"))
     df_gram = each.groupBy("gram").agg(F.count("*").alias("df"))
     ranked = each.join(df_gram, "gram").groupBy("token", "n", "size").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("o"))  # at most the grams of a token
     keep = (F.col("size") - F.ceil(F.col("size") * TOKEN_SIMILARITY) + 1).cast("int")
     ordered = F.transform("o", lambda x: x["gram"])
     prefix = ranked.select("token", "n", "size", ordered.alias("g"), F.explode(F.slice(ordered, F.lit(1), keep)).alias("gram"))
     a, b = prefix.alias("a"), prefix.alias("b")
-    # Tokens of one entity mostly keep their first letter; it isn't asked for, so that swapped first letters are found too.
-    pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.struct(F.col("b.n"), F.col("a.token")) > F.struct(F.col("a.n"), F.col("b.token"))) & (F.col("a.size") >= TOKEN_SIMILARITY * F.col("b.size")) & (F.col("b.size") >= TOKEN_SIMILARITY * F.col("a.size")))
+    length = lambda x: F.length(f"{x}.token")
+    most = F.when(F.least(length("a"), length("b")) < 6, 1).otherwise(2)
+    sized = (F.col("a.size") >= TOKEN_SIMILARITY * F.col("b.size")) & (F.col("b.size") >= TOKEN_SIMILARITY * F.col("a.size")) & (F.abs(length("a") - length("b")) <= most)
+    pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.struct(F.col("b.n"), F.col("a.token")) > F.struct(F.col("a.n"), F.col("b.token"))) & sized)
     both = F.size(F.array_intersect("a.g", "b.g"))
-    near = pairs.where(both >= TOKEN_SIMILARITY * (F.col("a.size") + F.col("b.size") - both)).select(F.col("a.token").alias("token"), F.col("b.token").alias("other")).distinct()
-    edit = F.levenshtein("token", "other", 2)
-    return near.where((edit >= 0) & (edit <= F.when(F.least(F.length("token"), F.length("other")) < 6, 1).otherwise(2)))
+    edit = F.levenshtein("a.token", "b.token", 2)
+    alike_enough = (edit >= 0) & (edit <= most) & (both >= TOKEN_SIMILARITY * (F.col("a.size") + F.col("b.size") - both))
+    return pairs.where(alike_enough).select(F.col("a.token").alias("token"), F.col("b.token").alias("other")).distinct()
 
 
 def _year(m: Column) -> Column:
     return F.floor(m / 12).cast("int")
 
 
-def candidates(persons: DataFrame) -> DataFrame:
+def contact_uses(persons: DataFrame) -> DataFrame:
+    """(key, f, g): how many family names (last tokens) and first letters of given names stand on each contact; tells a household and an agency from a person."""
+    use = persons.select(F.explode("contacts").alias("key"), F.substring(F.element_at("tokens", 1), 1, 1).alias("g"), F.element_at("tokens", F.size("tokens")).alias("f"))
+    return use.groupBy("key").agg(F.approx_count_distinct("f", 0.02).alias("f"), F.approx_count_distinct("g", 0.02).alias("g"))
+
+
+def candidates(persons: DataFrame, stats: DataFrame, uses: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b, that share a contact, or a dated role and a family-name token or two similar ones.
 
-    Which tokens are family names is counted: those that stand last at least as often as not. Roles are hashed together with the token, so that an employer that many share
-    isn't a group by itself; contacts on which many family names stand are no evidence and drop out before the join.
+    Roles are hashed together with the token, so that an employer that many share isn't a group by itself; contacts on which many family names stand are no
+    evidence and drop out before the join.
     """
-    places = persons.select("id", F.posexplode("tokens").alias("k", "token"), F.size("tokens").alias("of")).where("length(token) > 1")
-    stats = places.groupBy("token").agg(F.count("*").alias("n"), F.count_if(F.col("k") == F.col("of") - 1).alias("last"))
-    near = similar_tokens(stats.select("token", "n"))
-    bones = F.udf(lambda t: "~" + s if len(s := skeleton(t)) > 1 else None, "string")  # on distinct tokens only
-    spelled = stats.select("token", (F.col("last") * 2 >= F.col("n")).alias("family"), bones("token").alias("bone"))
-    own = spelled.select("token", "family", F.explode(F.array("token", "bone")).alias("as")).where("as is not null")
-    forms = own.unionByName(near.join(spelled.select("token", "family"), "token").select("token", "family", F.col("other").alias("as"))).distinct()
-    named = places.join(forms, "token").select("id", "family", "as")
-    families = named.groupBy("id").agg(F.collect_set(F.when(F.col("family"), F.col("as"))).alias("f"), F.collect_set("as").alias("all"))
-    families = families.select("id", F.when(F.size("f") > 0, F.col("f")).otherwise(F.col("all")).alias("as"))
-    first = F.element_at("tokens", F.size("tokens"))
-    crowd = persons.select(F.explode("contacts").alias("key"), F.lower(first).alias("who")).groupBy("key").agg(F.approx_count_distinct("who", 0.02).alias("n")).where(f"n > {SHARED_BY + 4}")
-    contacts = persons.select("id", F.explode("contacts").alias("key")).join(crowd.select("key"), "key", "left_anti")
-    role = F.explode("roles").alias("r")
-    roles = persons.select("id", role)
-    at = roles.where("r.org <> '' and r.e is not null").select("id", F.concat_ws("|", F.lit("o"), "r.org", _year(F.col("r.s")), _year(F.col("r.e"))).alias("key"))
-    exact = roles.where("r.sm and r.em").select("id", F.concat_ws("|", F.lit("d"), "r.s", "r.e").alias("key"))
-    evidence = at.unionByName(exact).distinct()
-    keyed = evidence.join(families.select("id", F.explode("as").alias("as")), "id").select(F.xxhash64("key", "as").alias("h"), "id").unionByName(contacts.select(F.xxhash64("key").alias("h"), "id"))
+    spelled = stats.select("token", "family", F.explode(F.array("token", "bone")).alias("as")).where("as is not null")
+    near = similar_tokens(stats).join(stats.select("token", "family"), "token").select("token", "family", F.col("other").alias("as"))
+    forms = spelled.unionByName(near)
+    named = persons.select("id", F.explode(F.array_distinct("tokens")).alias("token")).join(forms, "token").select("id", "family", "as")
+    families = named.groupBy("id").agg(F.collect_set(F.when(F.col("family"), F.col("as"))).alias("f"), F.collect_set("as").alias("all"))  # at most a name's forms
+    families = families.select("id", F.explode(F.when(F.size("f") > 0, F.col("f")).otherwise(F.col("all"))).alias("as"))
+    contacts = persons.select("id", F.explode("contacts").alias("key")).join(uses.where(f"f > {SHARED_BY + 4}").select("key"), "key", "left_anti")
+    r = F.col("r")
+    at = F.when((r["org"] != "") & r["e"].isNotNull(), F.concat_ws("|", F.lit("o"), r["org"], _year(r["s"]), _year(r["e"])))
+    exact = F.when(r["sm"] & r["em"], F.concat_ws("|", F.lit("d"), r["s"], r["e"]))
+    roles = persons.select("id", F.explode("roles").alias("r")).select("id", F.explode(F.array_compact(F.array(at, exact))).alias("key")).distinct()
+    keyed = roles.join(families, "id").select(F.xxhash64("key", "as").alias("h"), "id").unionByName(contacts.select(F.xxhash64("key").alias("h"), "id"))
     return keyed.alias("x").join(keyed.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
@@ -212,18 +219,15 @@ def linked(persons: DataFrame) -> DataFrame:
     before: see ``p2_found``. Ties don't matter, as each pair is judged by itself; an empty table gives an empty result.
     """
     persons = stored(persons)
-    pairs = stored(candidates(persons))
+    stats, uses = stored(token_stats(persons)), stored(contact_uses(persons))
+    pairs = stored(candidates(persons, stats, uses))
     n = persons.count()
-    counted = persons.select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").count()
-    idf = F.log(F.lit(n + 1.0) / F.col("count"))
-    of_token = counted.select("t", idf.alias("w"))
-    weights = persons.select("id", F.explode(F.array_distinct("tokens")).alias("t")).join(of_token, "t").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("t", "w"))).alias("w"))  # at most a name's tokens
-    # How many different first tokens and family names stand on a contact tells a household and an agency from a person.
-    given = F.element_at("tokens", 1)
-    use = persons.select(F.explode("contacts").alias("key"), F.substring(given, 1, 1).alias("g"), F.element_at("tokens", F.size("tokens")).alias("f"))
-    crowd = use.groupBy("key").agg(F.approx_count_distinct("f", 0.02).alias("f"), F.approx_count_distinct("g", 0.02).alias("g"))
-    marked = persons.select("id", F.explode("contacts").alias("key")).join(crowd, "key").groupBy("id").agg(F.collect_list(F.struct("key", "f", "g")).alias("uses"))  # at most a profile's contacts
-    side = persons.join(weights, "id").join(marked, "id", "left")
+    both_ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    met = persons.join(both_ids, "id", "left_semi")  # the rest has no pair to be judged in
+    of_token = stats.select(F.col("token").alias("t"), F.log(F.lit(n + 1.0) / F.col("n")).alias("w"))
+    weights = met.select("id", F.explode(F.array_distinct("tokens")).alias("t")).join(of_token, "t").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("t", "w"))).alias("w"))  # at most a name's tokens
+    marked = met.select("id", F.explode("contacts").alias("key")).join(uses, "key").groupBy("id").agg(F.collect_list(F.struct("key", "f", "g")).alias("uses"))  # at most a profile's contacts
+    side = met.join(weights, "id", "left").join(marked, "id", "left")
     row = F.struct("id", "tokens", "roles", "edu", "w", "uses")
     both = pairs.join(side.select(F.col("id").alias("a"), row.alias("x")), "a").join(side.select(F.col("id").alias("b"), row.alias("y")), "b").select("x", "y")
 
@@ -231,7 +235,7 @@ def linked(persons: DataFrame) -> DataFrame:
         for batch in batches:
             found = []
             for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w = dict(x["w"]) | dict(y["w"])
+                w = dict(x["w"] or ()) | dict(y["w"] or ())
                 ux, uy = {u["key"]: u for u in x["uses"] or []}, {u["key"]: u for u in y["uses"] or []}
                 shared = [ux[k] for k in ux.keys() & uy.keys()]
                 personal = sum(1 for u in shared if u["f"] <= 4 and u["g"] <= 2)
