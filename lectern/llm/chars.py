@@ -100,3 +100,25 @@ def canonical(text: str) -> str:
         return x if odd.isdisjoint(x) else word.sub(fix, x)
 
     return "\n".join(map(line, text.split("\n")))
+
+
+_CLUSTER = re.compile("(?s).[\u0300-\u036f\u0653-\u0655]*")
+
+
+def aligned(text: str) -> tuple[str, list[int] | None]:
+    """The canonical form and, for each of its characters and the end, the place in the text it comes from; None where nothing was changed."""
+    plain = canonical(text)
+    if plain == text:
+        return plain, None
+    fold = _plain_tables()[0]
+    offsets: list[int] = []
+    for m in _CLUSTER.finditer(text):
+        offsets += [m.start()] * len(unicodedata.normalize("NFC", m.group().translate(fold)))
+    if len(offsets) != len(plain):  # marks that compose in another order: the unchanged runs on both sides tell the places
+        from difflib import SequenceMatcher
+
+        offsets = [0] * len(plain)
+        for tag, a, b, x, y in SequenceMatcher(None, text, plain, autojunk=False).get_opcodes():
+            for k in range(x, y):
+                offsets[k] = a + (k - x if tag == "equal" else min(k - x, max(0, b - a - 1)))
+    return plain, [*offsets, len(text)]

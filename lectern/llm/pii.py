@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.chars import canonical
+from lectern.llm.chars import aligned, canonical
 from lectern.llm.crf import Crf
 from lectern.llm.pii_table import ARABIC_GIVEN, ID_WORDS, KINDS, LABELS, LINES, TOKEN, Writer
 
@@ -133,10 +133,14 @@ def items(texts: list[str], crf: Crf) -> list[list[tuple[str, int, int]]]:
             end = j
             while i < end and ms[i].group() in "\n,;|·،)":
                 i += 1
-            while end > i and ms[end - 1].group() in "\n,;|·،(":
+            while end > i and ms[end - 1].group() in "\n,;|·،(>":
                 end -= 1
-            if end > i and _valid(label[2:], text[ms[i].start() : ms[end - 1].end()]):
-                found.append((label[2:], ms[i].start(), ms[end - 1].end()))
+            if end > i:
+                a, b = ms[i].start(), ms[end - 1].end()
+                if text[a - 1 : a] == "(" and text.count(")", a, b) > text.count("(", a, b):
+                    a -= 1
+                if _valid(label[2:], text[a:b]):
+                    found.append((label[2:], a, b))
             i = j
         out.append(found)
     return out
@@ -172,15 +176,18 @@ def find(df: DataFrame, id_col: str, text_col: str, crf: Crf) -> DataFrame:
 
 
 def redact(df: DataFrame, id_col: str, text_col: str, crf: Crf) -> DataFrame:
-    """(id, text) with typed placeholders for the items of each text; the rest is unchanged but for look-alike characters. As ``find`` otherwise; an empty text stays."""
+    """(id, text) with typed placeholders for the items of each text; everything else stays as it is, look-alike characters too. As ``find`` otherwise; an empty text stays."""
     shared = df.sparkSession.sparkContext.broadcast(crf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 b = whole.slice(start, 1000)
-                texts = [canonical(t) for t in b.column(1).to_pylist()]
-                done = [redacted(t, f) for t, f in zip(texts, items(texts, shared.value), strict=True)]
+                raw = b.column(1).to_pylist()
+                plain = [aligned(t) for t in raw]
+                done = []
+                for t, (_, offsets), found in zip(raw, plain, items([x for x, _ in plain], shared.value), strict=True):
+                    done.append(redacted(t, found if offsets is None else [(k, offsets[x], offsets[y - 1] + 1) for k, x, y in found]))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done, pa.string())], names=["id", "text"])
 
     return df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id bigint, text string")
