@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.plans import anchors, records, records_sql, relational
+from lectern.plans import anchors, matching, records, records_sql, relational
 
-QUERIES = {**records.QUERIES, **anchors.QUERIES, **relational.QUERIES}
-SQL = {**records_sql.SQL, **anchors.SQL, **relational.SQL}
+QUERIES = {**records.QUERIES, **anchors.QUERIES, **relational.QUERIES, **matching.QUERIES}
+SQL = {**records_sql.SQL, **anchors.SQL, **relational.SQL, **matching.SQL}
