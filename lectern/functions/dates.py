@@ -67,7 +67,7 @@ def parse_month(raw: Column, *, end: bool, today: datetime.date) -> Column:
     patterns = (  # pattern, group of the year, group of the month, whether the month is a name
         (r"^(\d{4})\s?[-/.]\s?(\d{1,2})(?:\s?[-/.]\s?\d{1,2})?$", 1, 2, False),
         (r"^(?:\d{1,2}\s?[-/.]\s?)?(\d{1,2})\s?[-/.]\s?(\d{4})$", 2, 1, False),
-        (r"^(?:\d{1,2}\.? )?(?:de )?(\p{L}+(?: \p{L}+)?)\.?,?[ /-](?:de |del )?(\d{4})$", 2, 1, True),
+        (r"^(?:\d{1,2}\.? )?(?:de )?(\p{L}+(?: \p{L}+)??)\.?,?[ /-](?:de |del )?(\d{4})$", 2, 1, True),
         (r"^(\d{4})[ /-](\p{L}+)\.?$", 1, 2, True),
     )
 

@@ -24,7 +24,7 @@ cut as (
          when regexp_full_match(s, '\\d{{4}} ?[-/.] ?\\d{{1,2}}( ?[-/.] ?\\d{{1,2}})?') then regexp_extract(s, '^\\d{{4}} ?[-/.] ?(\\d{{1,2}})', 1)
          when regexp_full_match(s, '(\\d{{1,2}} ?[-/.] ?)?\\d{{1,2}} ?[-/.] ?\\d{{4}}') then regexp_extract(s, '(\\d{{1,2}}) ?[-/.] ?\\d{{4}}$', 1) end as m,
     case when regexp_full_match(s, '(\\d{{1,2}}\\.? )?(de )?\\p{{L}}+( \\p{{L}}+)?\\.?,?[ /-](de |del )?\\d{{4}}')
-           then regexp_extract(s, '^(?:\\d{{1,2}}\\.? )?(?:de )?(\\p{{L}}+(?: \\p{{L}}+)?)\\.?,?[ /-]', 1)
+           then regexp_extract(s, '^(?:\\d{{1,2}}\\.? )?(?:de )?(\\p{{L}}+(?: \\p{{L}}+)??)\\.?,?[ /-](?:de |del )?\\d{{4}}$', 1)
          when regexp_full_match(s, '\\d{{4}}[ /-]\\p{{L}}+\\.?') then regexp_extract(s, '(\\p{{L}}+)\\.?$', 1) end as word
   from clean),
 idx as (
