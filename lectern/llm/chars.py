@@ -24,8 +24,8 @@ ARABIC_LOOKALIKES = {"ک": "ك", "ڪ": "ك", "ی": "ي", "ې": "ي", "ہ": "ه",
 # Proper words of other languages in Arabic script (names of languages), and letters that only those languages have.
 PERSIAN_WORDS = ["فارسی", "کردی", "کوردی", "دری", "اردو"]
 PERSIAN_ONLY = "پچژگٹڈڑںۆێ"
-# Spaces other than the plain one.
-SPACES = "               　"
+#: Spaces other than the plain one.
+SPACES = "".join(c for c in map(chr, range(0x80, 0x3001)) if unicodedata.category(c) == "Zs")
 _TAGS = {"font", "wide", "narrow", "compat", "initial", "medial", "final", "isolated", "circle", "square"}
 
 
