@@ -30,6 +30,8 @@ SAMPLE_ROWS = 1_500
 TEMPER = 0.3
 #: A paragraph is in another language if at least so many of its words vote for it, and at least twice as many as for the main language.
 SEGMENT_VOTES = 4
+#: Texts handled at once.
+SLICE = 500
 #: Weight of the broader level in a host's prior, in texts; rows of the label table are smoothed by one text.
 PRIOR_WEIGHT = 5.0
 # Address suffixes of countries with one of these languages.
@@ -56,21 +58,24 @@ def _signals(texts: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
-            cols = {n: b.column(n).to_pylist() for n in b.schema.names}
-            labels, named, sums, segments = [], [], [], []
-            for text, label in zip(cols["text"], cols["label"], strict=True):
-                found = m.paragraphs(canonical(text))
-                lang = label_language(label)
-                labels.append(lang)
-                named.append(lang is not None)
-                v = found[:, 0].sum(axis=0)
-                if (s := _SUFFIX.search(text)) and s.group(1) in SUFFIXES:
-                    v[LANGS.index(SUFFIXES[s.group(1)])] += 2.0 / TEMPER  # e**2 times as likely
-                sums.append(v.tolist())
-                strong = np.nonzero(found[:, 1].max(axis=1) >= SEGMENT_VOTES)[0]
-                segments.append([{"seg_no": int(k) + 1, "ll": found[k, 0].tolist(), "votes": found[k, 1].tolist()} for k in strong])
-            yield pa.RecordBatch.from_arrays([b.column("origin").cast(pa.string()), b.column("item_id"), b.column("source").cast(pa.string()), b.column("host").cast(pa.string()), pa.array(labels, pa.string()), pa.array(named), pa.array(sums, _OUT.field("ll").type), pa.array(segments, _OUT.field("segments").type)], schema=_OUT)
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):  # a slice's texts and evidence are all that is held at once
+                yield one(m, whole.slice(start, SLICE))
+
+    def one(m: LanguageModel, b: pa.RecordBatch) -> pa.RecordBatch:
+        labels, named, sums, segments = [], [], [], []
+        for text, label in zip(b.column("text"), b.column("label"), strict=True):
+            text, lang = text.as_py(), label_language(label.as_py())
+            found = m.paragraphs(canonical(text))
+            labels.append(lang)
+            named.append(lang is not None)
+            v = found[:, 0].sum(axis=0)
+            if (s := _SUFFIX.search(text)) and s.group(1) in SUFFIXES:
+                v[LANGS.index(SUFFIXES[s.group(1)])] += 2.0 / TEMPER  # e**2 times as likely
+            sums.append(v)
+            strong = np.nonzero(found[:, 1].max(axis=1) >= SEGMENT_VOTES)[0]
+            segments.append([{"seg_no": int(k) + 1, "ll": found[k, 0], "votes": found[k, 1]} for k in strong])
+        return pa.RecordBatch.from_arrays([b.column("origin").cast(pa.string()), b.column("item_id"), b.column("source").cast(pa.string()), b.column("host").cast(pa.string()), pa.array(labels, pa.string()), pa.array(named, pa.bool_()), pa.array(sums, _OUT.field("ll").type), pa.array(segments, _OUT.field("segments").type)], schema=_OUT)
 
     return texts.where("text is not null and item_id is not null").select("origin", "item_id", "source", "host", "text", "label").mapInArrow(run, _SIGNALS)
 
