@@ -46,4 +46,61 @@ select profile_id, kind, lpad(cast(s // 12 as varchar), 4, '0') || '-' || lpad(c
 from both_kinds
 """
 
-SQL = {"p6_found": P6}
+
+
+def _filled(x: str) -> str:
+    """SQL: a JSON value is neither null nor blank."""
+    return f"coalesce(json_type({x}) <> 'NULL' and case when json_type({x}) = 'VARCHAR' then trim({x} ->> '$') <> '' when json_type({x}) = 'ARRAY' then len(list_filter(json_extract_string({x}, '$[*]'), lambda q: trim(coalesce(q, '')) <> '')) > 0 when json_type({x}) = 'OBJECT' then len(list_filter(json_extract_string({x}, '$.*'), lambda q: trim(coalesce(q, '')) <> '')) > 0 else true end, false)"
+
+
+def _first(holder: str, *keys: str) -> str:
+    """SQL: the first of several keys that holds something."""
+    return "coalesce(" + ", ".join(f"case when json_type({holder}, '$.{k}') <> 'NULL' then json_extract({holder}, '$.{k}') end" for k in keys) + ")"
+
+
+def _fields(item: str, *keys: str) -> str:
+    plain = f"json_type({item}) <> 'OBJECT' and {_filled(item)}"
+    return f"({plain} or json_type({item}) = 'OBJECT' and (" + " or ".join(_filled(f"json_extract({item}, '$.{k}')") for k in keys) + "))"
+
+
+def _tagged() -> str:
+    """SQL over records (origin, id, j): every present item. j has small letters only, so that key names ignore case."""
+    listed = "select origin, id, {path} as path, 0 as parent_pos, unnest(case when json_type(v) = 'ARRAY' then json_extract(v, '$[*]') when json_type(v) <> 'NULL' then [v] end) as item, unnest(case when json_type(v) = 'ARRAY' then range(1, json_array_length(v)::bigint + 1) when json_type(v) <> 'NULL' then [1] end) as pos from (select origin, id, {value} as v from {rel})"
+    top = {
+        "experiences": (_first("j", "experiences", "experience", "work_experience"), "records", ("title", "organization", "company", "start", "end")),
+        "education": (_first("j", "education", "educations"), "records", ("degree", "field", "institution", "year")),
+        "skills": (_first("j", "skills"), "records", ("name", "source")),
+        "identity.full_name": (_first("i", "full_name", "name"), "identities", ("value",)),
+        "identity.emails": (_first("i", "emails", "email"), "identities", ("value",)),
+        "identity.phones": (_first("i", "phones", "phone"), "identities", ("value",)),
+        "identity.links": (_first("i", "links"), "identities", ("value",)),
+    }
+    out, ctes = [], []
+    for k, (path, (value, rel, keys)) in enumerate(top.items()):
+        ctes.append(f"t{k} as (select * from ({listed.format(path=repr(path), value=value, rel=rel)}) where json_type(item) <> 'NULL' and {_fields('item', *keys)})")
+        out.append(f"select origin, id, path, parent_pos, pos from t{k}")
+        if path in ("experiences", "education", "skills", "identity.full_name"):
+            e = "json_extract(item, '$.evidence')"
+            out.append(f"select origin, id, path || '.evidence', pos, 1 from t{k} where json_type(item) = 'OBJECT' and json_type({e}) <> 'NULL' and {_fields(e, 'page', 'quote')}")
+        if path == "experiences":
+            p = "json_extract(item, '$.projects')"
+            ctes.append(f"pr as (select origin, id, pos as parent_pos, unnest(case when json_type({p}) = 'ARRAY' then json_extract({p}, '$[*]') when json_type({p}) <> 'NULL' then [{p}] end) as item, unnest(case when json_type({p}) = 'ARRAY' then range(1, json_array_length({p})::bigint + 1) when json_type({p}) <> 'NULL' then [1] end) as pos from t{k} where json_type(item) = 'OBJECT' and origin = 'reply')")
+            out.append(f"select origin, id, 'experiences.projects', parent_pos, pos from pr where json_type(item) <> 'NULL' and {_fields('item', 'name', 'role', 'tools')}")
+    return ", ".join(ctes) + " select distinct origin, id as record_id, path, cast(parent_pos as int) as parent_pos, cast(pos as int) as pos from (" + " union all ".join(out) + ")"
+
+
+_wrap = lambda j: f"case when json_type({j}, '$.result') = 'OBJECT' then json_extract({j}, '$.result') when json_type({j}, '$.candidate') = 'OBJECT' then json_extract({j}, '$.candidate') else {j} end"
+P3 = f"""
+with cur as (select profile_id, identity, experiences, education, skills from profiles where profile_id is not null
+  qualify row_number() over (partition by profile_id order by revision desc nulls last, ingested_at desc nulls last) = 1),
+raw as (select distinct reply_id, lower(regexp_replace(trim(payload), '^```[A-Za-z]*\\s*|\\s*```$', '', 'g')) as t from model_replies where payload is not null),
+valid as (select reply_id, case when json_valid(t) then t::json end as j from raw),
+un1 as (select reply_id, {_wrap('j')} as j from valid where json_type(j) = 'OBJECT'),
+un2 as (select reply_id, {_wrap('j')} as j from un1),
+records as (select 'reply' as origin, reply_id as id, j from un2
+  union all select 'profile', profile_id, to_json({{'identity': identity, 'experiences': experiences, 'education': education, 'skills': skills}}) from cur),
+identities as (select origin, id, json_extract(j, '$.identity') as i from records where json_type(j, '$.identity') = 'OBJECT'),
+{_tagged()}
+"""
+
+SQL = {"p3_found": P3, "p6_found": P6}
