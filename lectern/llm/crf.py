@@ -75,7 +75,8 @@ class Crf:
         past_w, past_m, past_s = np.full_like(self.weights, 1e-6), np.full_like(self.moves, 1e-6), np.full_like(self.start, 1e-6)
         order = np.argsort([len(x) for x, _ in data], kind="stable")
         groups = [order[i : i + batch] for i in range(0, len(order), batch)]
-        for _ in range(epochs):
+        mean: list[np.ndarray] | None = None
+        for epoch in range(epochs):
             for g in rng.permutation(len(groups)):
                 chosen = [data[i] for i in groups[g]]
                 length = np.array([len(x) for x, _ in chosen])
@@ -116,6 +117,11 @@ class Crf:
                 past_s += gs * gs
                 self.moves += rate * gm / np.sqrt(past_m)
                 self.start += rate * gs / np.sqrt(past_s)
+            if epoch >= epochs // 2:  # the mean over the later epochs varies less than the last
+                now = [self.weights, self.moves, self.start]
+                mean = [x.astype(np.float64) for x in now] if mean is None else [m + x for m, x in zip(mean, now, strict=True)]
+        if mean is not None:
+            self.weights, self.moves, self.start = ((m / (epochs - epochs // 2)).astype(np.float32) for m in mean)
         return self
 
     def _expect(self, e: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

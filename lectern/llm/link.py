@@ -197,7 +197,9 @@ def same_person(a: dict, b: dict, weight, personal: int, crowded: int, mailed: b
     agree, _ = career(a["roles"] or [], b["roles"] or [], a["edu"] or [], b["edu"] or [])
     family = max((alike(t, u) for t in ta for u in tb if len(t) > 2 and len(u) > 2), default=0)
     if s < NAME_SIMILARITY:
-        # A short form that no list has: the family name, a personal contact and the career together leave no other reading.
+        # A short form that no list has: the family name, a personal contact and the career together leave no other reading; nor do a name in common and a personal address.
+        if mailed and personal and s > 0.4 and family >= 0.95:
+            return True
         return s > 0.4 and (family >= 0.7 and personal + crowded > 0 and agree >= 0.9 or family >= 0.9 and agree >= 1.8)
     full = [t for t in (ta if len(ta) <= len(tb) else tb) if len(t) > 1]
     sure = len(full) >= 2  # a given name is spelled out on both sides

@@ -45,10 +45,10 @@ _MAIL_WORDS = ["E-mail: ", "Mail ", "@: ", "", "", "Email: ", "Correo: ", "ال
 _HOSTS = "mail.example box.example inbox.test post.invalid letters.example webmail.test mail.north.example company.example".split()
 # Words of streets.
 STREETS = {
-    "en": ["{n} {S} {T}", "{n}-{n} {S} {T}, Apt {a}", "Flat {m}, {n} {S} {T}", "{n} {S}'s {T}", "P.O. Box {n}", "Apt {a}, {n} {S} {T}", "{n} Old {S} {T}", "Unit {m}, {n} {S} {T}"],
+    "en": ["{n} {S} {T}", "{n}-{n} {S} {T}, Apt {a}", "Flat {m}, {n} {S} {T}", "{n} {S}'s {T}", "P.O. Box {n}", "Apt {a}, {n} {S} {T}", "{n} Old {S} {T}", "{n} Old {S} St.", "{n} {S} St.", "{n} New {S} {T}", "{n} {S} {S} {T}", "Unit {m}, {n} {S} {T}"],
     "de": ["{S}str. {n}", "{S}straße {n}", "{S}weg {n}", "{S}gasse {n} b", "{S}allee {n}", "Am {S} {n}", "Alten {S} {n}", "Postfach {n}", "{S}platz {n}", "{S}str. {n}a", "Am Alten {S} {n}", "Zum {S} {n}"],
-    "fr": ["{n}, rue des {S}", "{n} bis rue de la {S}", "{n} rue {S}", "{n}, impasse du {S}", "{n} bis bd. de l'{S}", "{n}, bd. de l'{S}", "{n}, avenue des {S}", "{n} quai {S}", "BP {n}", "{n}, place du {S}", "{n} bis avenue des {S}"],
-    "es": ["C/ {S} {S} n.º {n}", "Calle del {S} n.º {n}", "C/ {S}, {n}, {m}º B", "Avda. de la {S} n.º {n}", "Plaza del {S}, {n}", "Paseo {S} {n}", "Apdo. de Correos {n}", "Calle del {S}, {n}, {m}º A"],
+    "fr": ["{n}, rue des {S}", "{n} bis rue de la {S}", "{n} rue {S}", "{n}, impasse du {S}", "{n} bis bd. de l'{S}", "{n}, bd. de l'{S}", "{n} bis bd. de l'{S}", "{n}, bd. {S}", "{n} bis bd. du {S}", "{n} bis bd. de l'{S}", "{n} bis impasse {S}", "{n} boulevard de l'{S}", "{n} avenue {S}", "{n}, avenue des {S}", "{n} quai {S}", "BP {n}", "{n}, place du {S}", "{n} bis avenue des {S}"],
+    "es": ["C/ {S} {S} n.º {n}", "C/ {S} {S}, {n}, {m}º B", "Calle del {S} n.º {n}", "C/ {S}, {n}, {m}º B", "Avda. de la {S} n.º {n}", "Plaza del {S}, {n}", "Paseo {S} {n}", "Apdo. de Correos {n}", "Calle del {S}, {n}, {m}º A"],
     "pt": ["Rua das {S} {n}", "Av. do {S} {n}", "Travessa do {S}, {n}, {m}.º Esq.", "Largo da {S} {n}", "Rua {S}, {n}", "Caixa Postal {n}", "Apartado {n}", "Av. do {S}, {n}, {m}.º Dir."],
     "ar": ["شارع {R} {n}", "شارع {R}، مبنى {n}، ص.ب {n}", "طريق {R}، مبنى {n}", "زقاق {R} {n}", "حي {R}، شارع {R} {n}", "ص.ب {n}", "ميدان {R}، عمارة {n}", "طريق {R} {n}"],
 }
@@ -72,6 +72,11 @@ for _t in ("The old office ({x}) still forwards messages.", "Between jobs I can
            "L'ancien bureau ({x}) transmet encore.", "Le courrier arrive chez {x} jusqu'à l'automne.", "Entre deux postes on me joint à {x} après six heures.", "Entre dos empleos se me encuentra en {x} después de las seis.", "Las cartas llegan a {x} hasta el otoño.", "La oficina antigua ({x}) aún reenvía mensajes.",
            "As cartas chegam a {x} até ao outono.", "O escritório antigo ({x}) ainda reencaminha mensagens.", "Entre empregos estou em {x} depois das seis.", "المكتب القديم ({x}) ما زال يحول الرسائل.", "تصل الرسائل إلى {x} حتى الخريف.", "يمكن التواصل معي عبر {x} بعد السادسة."):
     LINES += [_t.replace("{x}", s) for s in ("{email}", "{phone}", "{addr}")]
+# Sentences that name a street, a person or a number without giving an item.
+NO_ITEMS = [
+    "Moved {n} routes of the {S} {T} project.", "Projekt {S}weg mit {n} Strecken verlegt.", "Projekt {S}straße, {n} Strecken verlegt.", "Projet Rue {S}, {n} lignes déplacées.", "Projet Avenue {S}, {n} lignes déplacées.", "Proyecto Calle {S} con {n} rutas movidas.",
+    "Proyecto Plaza {S}, {n} rutas movidas.", "Projeto Rua {S}, {n} rotas mudadas.", "Projeto Largo {S} com {n} rotas mudadas.", "مشروع شارع {R}، نقل {n} مسارات.", "Led the {S} {T} project with {n} colleagues.", "Handled {n} {n}00 000 rows a day.", "Closed ticket REQ-20{m}-{n} within {m} days.",
+]
 HEADERS = ["Curriculum Vitae - {name}", "Curriculum Vitae    {name}", "{name}  |  CV", "{name}, {job}", "{name}  |  CV   {p}", "Curriculum Vitae - {name}   {p}", "CV {name}"]
 REFEREES = ["{name}, {org}", "{name}, {org}, {email}", "{name}, {org}, {phone}", "{name}, {org} - {phone}", "{name}, {org}, Tel. {phone}", "{name}, {org}, {email}"]
 SEPARATORS = [" | ", " · ", ", ", "  ", "  ", "\n", "\n", "\n"]
@@ -126,14 +131,18 @@ class Writer:
     def address(self) -> str:
         r = self.r
         lang = r.choice([*STREETS])
-        stem = lambda: r.choice([r.choice(_STREET_STEMS), r.choice(FRONT) + r.choice(BACK)])
-        fill = lambda t: re.sub(r"\{(\w+)\}", lambda m: {"n": str(r.randrange(1, 9999 if "Box" in t or "fach" in t or "ص" in t else 200)), "m": str(r.randrange(1, 40)), "a": f"{r.randrange(1, 20)}{r.choice('ABC')}", "S": stem(), "T": r.choice(_STREET_TYPES), "R": "ال" + r.choice(ARABIC_STEM) + r.choice(["", "ة", "ين"]), "c": r.choice([r.choice(self.cities), r.choice(_CITIES), r.choice(FRONT) + r.choice(BACK)]), "z": self.form("99999"), "zz": self.form("9999-999"), "d": str(r.randrange(1, 10))}[m.group(1)], t)
-        s = fill(r.choice(STREETS[lang]))
+        s = self.fill(r.choice(STREETS[lang]))
         if r.random() < 0.85:
-            region = fill(r.choice(_ARABIC_REGION if lang == "ar" else _REGIONS))
+            region = self.fill(r.choice(_ARABIC_REGION if lang == "ar" else _REGIONS))
             s += (" " if region.startswith("-") else "، " if lang == "ar" else ", ") + region
         return s
 
+    def fill(self, template: str) -> str:
+        r = self.r
+        stem = lambda: r.choice([r.choice(_STREET_STEMS), r.choice(FRONT) + r.choice(BACK)])
+        one = lambda t: re.sub(r"\{(\w+)\}", lambda m: {"n": str(r.randrange(1, 9999 if "Box" in t or "fach" in t or "ص" in t else 200)), "m": str(r.randrange(1, 40)), "a": f"{r.randrange(1, 20)}{r.choice('ABC')}", "S": stem(), "T": r.choice(_STREET_TYPES), "R": "ال" + r.choice(ARABIC_STEM) + r.choice(["", "ة", "ين"]), "c": r.choice([r.choice(self.cities), r.choice(_CITIES), r.choice(FRONT) + r.choice(BACK)]), "z": self.form("99999"), "zz": self.form("9999-999"), "d": str(r.randrange(1, 10))}[m.group(1)], t)
+        return one(template)
+
     def slot(self, kind: str) -> tuple[str, str | None]:
         r = self.r
         return {
@@ -165,14 +174,16 @@ class Writer:
             add("{job}")
             sep = r.choice(SEPARATORS)
             contact = [r.choice(_MAIL_WORDS) + "{email}", r.choice(_PHONE_WORDS) + "{phone}", "{addr}"]
-            add(sep.join(x for x in contact if r.random() < 0.8) or "{email}")
+            add(sep.join(x for x in contact if r.random() < (0.95 if x == "{addr}" else 0.8)) or "{email}")
             parts.append(("\n", None))
         some()
         for _ in range(r.choice([0, 1, 1, 2])):
             add(r.choice(["", "- ", "• "]) + (r.choice(self.plain) + " ") * (r.random() < 0.4) + r.choice(LINES))
             some()
+        if r.random() < 0.35:
+            parts.append((r.choice(["", "- ", "• "]) + self.fill(r.choice(NO_ITEMS)) + "\n", None))
         if r.random() < 0.3:
-            add(r.choice(["{addr}", "{addr}", "{phone}", "{email}"]))
+            add(r.choice(["{addr}", "{addr}", "{addr}", "{phone}", "{email}"]))
         if r.random() < 0.5:
             add(r.choice(HEADINGS))
             for _ in range(r.randrange(1, 4)):
