@@ -145,10 +145,15 @@ def top_degrees(spark, sf_dir):
 
 @R.query("select s_suppkey, rank() over (order by round(s_acctbal / 100) desc) as place, count(*) over (partition by round(s_acctbal / 100)) > 1 as tied, row_number() over (order by round(s_acctbal / 100) desc, s_nationkey, s_suppkey) as line from supplier")
 def competition_rank(spark, sf_dir):
-    """Places of suppliers by balance in hundreds, shared by ties, and their order inside a tie. The table of suppliers is a dimension; facts are ranked by group (see top_orders)."""
-    s = table(spark, sf_dir, "supplier").withColumn("score", F.round(F.col("s_acctbal") / 100))
-    w = Window.orderBy(F.desc("score"))
-    return s.select("s_suppkey", F.rank().over(w).cast("long").alias("place"), (F.count("*").over(Window.partitionBy("score")) > 1).alias("tied"), F.row_number().over(Window.orderBy(F.desc("score"), "s_nationkey", "s_suppkey")).cast("long").alias("line"))
+    """Places of suppliers by balance in hundreds, shared by ties, and their order inside a tie.
+
+    How many are before a score is counted by score, of which there are few; only ties are sorted, each by itself, never all rows in one task.
+    """
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.round(F.col("s_acctbal") / 100).alias("score"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = s.groupBy("score").agg(F.count("*").alias("n")).select("score", "n", before.alias("before"))
+    inside = F.row_number().over(Window.partitionBy("score").orderBy("s_nationkey", "s_suppkey"))
+    return s.join(F.broadcast(places), "score").select("s_suppkey", (F.col("before") + 1).alias("place"), (F.col("n") > 1).alias("tied"), (F.col("before") + inside).alias("line"))
 
 
 @R.query(f"""
