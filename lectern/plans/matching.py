@@ -60,7 +60,7 @@ def semantic_best(spark, sf_dir):
 
 
 _REQUEST = 1
-_VERDICTS = f"""
+VERDICTS_SQL = f"""
 c as (select profile_id, total_years_experience.value as years, coalesce(list_transform(list_filter(skills, lambda s: s.name is not null), lambda s: lower(s.name)), []) as names, lower(coalesce(full_text, '')) as t from {CURRENT} where extraction.status = 'OK'),
 q as (select distinct req_id, kind, rtype, coalesce(list_transform(keywords, lambda k: lower(k)), []) as kws, min_years from requirements where request_id = {_REQUEST}),
 v as (select profile_id, req_id, kind, case
@@ -87,7 +87,7 @@ def verdicts(spark: SparkSession, sf_dir: str, request_id: int = _REQUEST) -> Da
 _CREDIT = "case verdict when 'met' then 2 when 'partial' then 1 when 'missing' then 0 end * case when kind = 'required' then 5 else 2 end"
 
 
-@R.query(f"""with {_VERDICTS},
+@R.query(f"""with {VERDICTS_SQL},
 s as (select profile_id, sum({_CREDIT}) as got, sum(case when verdict <> 'unverified' then 2 * case when kind = 'required' then 5 else 2 end end) as possible, count_if(verdict = 'met') as met, count_if(verdict = 'missing' and kind = 'required') as missing_required from v group by 1),
 z as (select profile_id, cast(round_even(100.0 * got / possible, 0) as bigint) as score, cast(met as bigint) as met, cast(missing_required as bigint) as missing_required from s where possible > 0)
 select *, cast(rank() over (order by score desc) as bigint) as place from z qualify place <= 50""")
@@ -105,13 +105,13 @@ def fit_score_ranked(spark, sf_dir):
     return z.join(F.broadcast(places), "score").where("place <= 50").select("profile_id", "score", "met", "missing_required", "place")
 
 
-@R.query(f"with {_VERDICTS} select req_id, verdict, cast(count(*) as bigint) as n from v group by all")
+@R.query(f"with {VERDICTS_SQL} select req_id, verdict, cast(count(*) as bigint) as n from v group by all")
 def verdict_matrix(spark, sf_dir):
     """How often each requirement of one request gets each verdict."""
     return verdicts(spark, sf_dir).groupBy("req_id", "verdict").agg(F.count("*").alias("n"))
 
 
-@R.query(f"with {_VERDICTS} select req_id, cast(count(*) as bigint) as n from v where verdict = 'missing' group by 1 order by n desc, req_id limit 3")
+@R.query(f"with {VERDICTS_SQL} select req_id, cast(count(*) as bigint) as n from v where verdict = 'missing' group by 1 order by n desc, req_id limit 3")
 def gap_counts(spark, sf_dir):
     """The three requirements that most profiles miss."""
     return verdicts(spark, sf_dir).where("verdict = 'missing'").groupBy("req_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "req_id").limit(3)

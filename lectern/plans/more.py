@@ -9,6 +9,7 @@ from lectern.functions import text as T
 from lectern.operators.resolve import absorb
 from lectern.plans.anchors import SQL as ANCHOR_SQL
 from lectern.plans.anchors import quote_verify
+from lectern.plans.matching import VERDICTS_SQL, verdicts
 from lectern.plans.registry import CURRENT, PAGES, Registry
 from lectern.plans.relational import contact_key_edges
 from lectern.sources.tables import current_profiles, latest, table
@@ -128,4 +129,56 @@ def default_verdicts(spark, sf_dir):
     return v.join(judged, ["request_id", "req_id"], "left").groupBy(F.coalesce("verdict", F.lit("unverified")).alias("verdict"), "kind").agg(F.count("*").alias("n"))
 
 
+_NAME_LINE = r"^[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ.'-]+( [A-Za-zÀ-ÿ][A-Za-zÀ-ÿ.'-]*){1,3}$"
+_NOT_NAMES = r"(curriculum|vitae|engineer|developer|analyst|manager|clerk|assistant|technician|coordinator|planner|lead|summary|experience|education|skills|profile|confidential|page|personal|details|application)"
+
+
+@R.query(f"""
+with l as (select profile_id, page_id, unnest(string_split(text, chr(10))[1:8]) as line, generate_subscripts(string_split(text, chr(10))[1:8], 1) as k from {PAGES} where page = 1 and text is not null and profile_id is not null),
+g as (select * from l where regexp_matches(line, '{_NAME_LINE.replace("'", "''")}') and not regexp_matches(lower(line), '{_NOT_NAMES}') and length(line) between 3 and 60)
+select profile_id, arg_min(line, k * 1000000000 + page_id) as name from g group by 1""")
+def heuristic_name(spark, sf_dir):
+    """The first of the eight top lines of a first page that may be a name: two to four words, no heading and no job."""
+    p = latest(table(spark, sf_dir, "cv_pages"), "page_id", ["ingested_at"], ["profile_id", "page", "text"]).where("page = 1 and text is not null and profile_id is not null")
+    lines = p.select("profile_id", "page_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 8)).alias("k", "line"))
+    good = lines.where(F.col("line").rlike(_NAME_LINE) & ~F.lower("line").rlike(_NOT_NAMES) & F.length("line").between(3, 60))
+    return good.groupBy("profile_id").agg(F.min_by("line", F.struct("k", "page_id")).alias("name"))
+
+
+@R.query(f"with {VERDICTS_SQL} select profile_id, string_agg(case when verdict = 'met' then req_id end, ',' order by req_id) as met, string_agg(case when verdict = 'missing' and kind = 'required' then req_id end, ',' order by req_id) as missing_required, string_agg(case when verdict = 'unverified' then req_id end, ',' order by req_id) as unverified from v group by 1")
+def verdict_lists(spark, sf_dir):
+    """Which requirements of one request each profile meets, misses and leaves open, as lists."""
+    some = lambda cond: F.nullif(F.array_join(F.array_sort(F.collect_list(F.when(F.expr(cond), F.col("req_id")))), ","), F.lit(""))
+    return verdicts(spark, sf_dir).groupBy("profile_id").agg(some("verdict = 'met'").alias("met"), some("verdict = 'missing' and kind = 'required'").alias("missing_required"), some("verdict = 'unverified'").alias("unverified"))
+
+
+@R.query(f"""
+with c as (select profile_id, list_transform(list_filter(skills, lambda s: s.name is not null), lambda s: s.name) as n from {CURRENT})
+select profile_id, array_to_string(n[1:4], ', ') || case when len(n) > 4 then ' …' else '' end as cell, repeat('█', least(10, len(n))) as bar from c where len(n) > 0""")
+def skill_cells(spark, sf_dir):
+    """Skills as a cell of a report: four of them and a mark for more, with a bar of their number."""
+    c = current_profiles(spark, sf_dir, {"n": F.transform(F.filter("skills", lambda s: s["name"].isNotNull()), lambda s: s["name"])}).where("size(n) > 0")
+    return c.select("profile_id", F.concat(F.array_join(F.slice("n", 1, 4), ", "), F.when(F.size("n") > 4, " …").otherwise("")).alias("cell"), F.repeat(F.lit("█"), F.least(F.lit(10), F.size("n"))).alias("bar"))
+
+
+@R.query("""
+with r as (select request_id, req_id, lower(text) as t from requirements where text is not null)
+select request_id, req_id, arg_min(s.term, s.term_id) as term from r join skill_terms s on contains(r.t, lower(s.term)) and length(s.term) > 3 group by all""")
+def first_needle(spark, sf_dir):
+    """The first reference skill that the text of each requirement contains; the list of skills is small and fixed."""
+    r = table(spark, sf_dir, "requirements").where("text is not null").select("request_id", "req_id", F.lower("text").alias("t"))
+    s = table(spark, sf_dir, "skill_terms").where("length(term) > 3")
+    return r.join(F.broadcast(s), F.col("t").contains(F.lower("term"))).groupBy("request_id", "req_id").agg(F.min_by("term", "term_id").alias("term"))
+
+
+@R.query("""
+with p as (select event_id, unnest(json_keys(props)) as k, props from events where props is not null)
+select k as key, cast(count(*) as bigint) as uses, cast(sum(try_cast(json_extract_string(props, '$.' || k) as double)) as bigint) as total from p where k not in ('age', 'gender', 'religion', 'nationality') group by 1""")
+def scrubbed_props(spark, sf_dir):
+    """Keys of the events' open fields without protected ones, with the sum of what they hold."""
+    m = F.map_filter(F.from_json("props", "map<string,string>"), lambda k, v: ~k.isin("age", "gender", "religion", "nationality"))
+    e = table(spark, sf_dir, "events").where("props is not null").select(F.explode(m).alias("key", "v"))
+    return e.groupBy("key").agg(F.count("*").alias("uses"), F.sum(F.expr("try_cast(v as double)")).cast("long").alias("total"))
+
+
 QUERIES, SQL = R.queries, R.sql
