@@ -68,7 +68,7 @@ class Crf:
         tokens: dict[str, int] = {}
         data = [(np.array([tokens.setdefault(w, len(tokens)) for w in ws]), np.array(ys)) for ws, ys in rows if ws]
         feats = [self.features(w, grow=True) for w in tokens]
-        of_feature, of_token = np.concatenate([np.array(f) for f in feats]), np.repeat(np.arange(len(feats)), [len(f) for f in feats])
+        of_feature = np.concatenate([np.array(f) for f in feats])
         first = np.concatenate([[0], np.cumsum([len(f) for f in feats])])
         n, k = len(self.labels), len(OFFSETS)
         self.weights = np.zeros((len(self.ids), k, n), np.float32)
@@ -86,11 +86,10 @@ class Crf:
                     x[r, : len(a)], y[r, : len(b)] = a, b
                 used, inverse = np.unique(x, return_inverse=True)
                 inverse = inverse.reshape(x.shape)
-                spans = [np.arange(first[u], first[u + 1]) if u >= 0 else np.zeros(0, np.int64) for u in used]
-                rows_ = np.repeat(np.arange(len(used)), [len(s) for s in spans])
-                cols = of_feature[np.concatenate(spans)]
-                table = np.zeros((len(used), k, n), np.float32)
-                np.add.at(table, rows_, self.weights[cols])
+                sizes = np.where(used >= 0, first[used + 1] - first[used], 0)  # -1, the padding, has no features
+                rows_ = np.repeat(np.arange(len(used)), sizes)
+                cols = of_feature[np.repeat(first[np.maximum(used, 0)] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(rows_))]
+                table = _sums(self.weights[cols], rows_, len(used))
                 e = _emissions(table, inverse)
                 mask = np.arange(t) < length[:, None]
                 p, pair, p0 = self._expect(e, mask)
@@ -104,12 +103,17 @@ class Crf:
                 np.add.at(gs, y[:, 0], 1.0)
                 gs -= p0
                 gt = np.zeros_like(table)
+                flat = inverse.ravel()
+                by_token = np.argsort(flat, kind="stable")
                 for j, o in enumerate(OFFSETS):
                     a, b = (slice(max(0, -o), t - max(0, o)), slice(max(0, o), t - max(0, -o)))
-                    np.add.at(gt[:, j], inverse[:, b], diff[:, a])
-                distinct, where = np.unique(cols, return_inverse=True)
-                gw = np.zeros((len(distinct), k, n), np.float32)
-                np.add.at(gw, where, gt[rows_])
+                    if a.start < a.stop:
+                        moved = np.zeros_like(diff)
+                        moved[:, b] = diff[:, a]
+                        gt[:, j] = _sums(moved.reshape(-1, n)[by_token], flat[by_token], len(used))
+                by_feature = np.argsort(cols, kind="stable")
+                distinct, where = np.unique(cols[by_feature], return_inverse=True)
+                gw = _sums(gt[rows_[by_feature]], where, len(distinct))
                 gw -= decay * len(chosen) * self.weights[distinct]
                 past_w[distinct] += gw * gw
                 self.weights[distinct] += rate * gw / np.sqrt(past_w[distinct])
@@ -193,6 +197,15 @@ class Crf:
         return out
 
 
+def _sums(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by group; groups are in ascending order."""
+    out = np.zeros((n, *values.shape[1:]), np.float32)
+    if len(groups):
+        starts = np.concatenate([[0], np.nonzero(np.diff(groups))[0] + 1])
+        out[groups[starts]] = np.add.reduceat(values, starts, axis=0)
+    return out
+
+
 def _emissions(table: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Scores of each label at each place: the sum of what the tokens around it, by offset, say."""
     b, t = x.shape
