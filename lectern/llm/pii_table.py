@@ -45,7 +45,7 @@ _MAIL_WORDS = ["E-mail: ", "Mail ", "@: ", "", "", "Email: ", "Correo: ", "ال
 _HOSTS = "mail.example box.example inbox.test post.invalid letters.example webmail.test mail.north.example company.example".split()
 # Words of streets.
 STREETS = {
-    "en": ["{n} {S} {T}", "{n}-{n} {S} {T}, Apt {a}", "Flat {m}, {n} {S} {T}", "{n} {S}'s {T}", "P.O. Box {n}", "Apt {a}, {n} {S} {T}", "{n} Old {S} {T}", "{n} Old {S} St.", "{n} {S} St.", "{n} New {S} {T}", "{n} {S} {S} {T}", "Unit {m}, {n} {S} {T}"],
+    "en": ["{n} {S} {T}", "{n}-{n} {S} {T}, Apt {a}", "Flat {m}, {n} {S} {T}", "{n} {S}'s {T}", "P.O. Box {n}", "Apt {a}, {n} {S} {T}", "{n} Old {S} {T}", "{n} Old {S} St.", "{n} Old {S} St.", "{n} {S} St.", "{n} New {S} {T}", "{n} {S} {S} {T}", "Unit {m}, {n} {S} {T}"],
     "de": ["{S}str. {n}", "{S}straße {n}", "{S}weg {n}", "{S}gasse {n} b", "{S}allee {n}", "Am {S} {n}", "Alten {S} {n}", "Postfach {n}", "{S}platz {n}", "{S}str. {n}a", "Am Alten {S} {n}", "Zum {S} {n}"],
     "fr": ["{n}, rue des {S}", "{n} bis rue de la {S}", "{n} rue {S}", "{n}, impasse du {S}", "{n} bis bd. de l'{S}", "{n}, bd. de l'{S}", "{n} bis bd. de l'{S}", "{n}, bd. {S}", "{n} bis bd. du {S}", "{n} bis bd. de l'{S}", "{n} bis impasse {S}", "{n} boulevard de l'{S}", "{n} avenue {S}", "{n}, avenue des {S}", "{n} quai {S}", "BP {n}", "{n}, place du {S}", "{n} bis avenue des {S}"],
     "es": ["C/ {S} {S} n.º {n}", "C/ {S} {S}, {n}, {m}º B", "Calle del {S} n.º {n}", "C/ {S}, {n}, {m}º B", "Avda. de la {S} n.º {n}", "Plaza del {S}, {n}", "Paseo {S} {n}", "Apdo. de Correos {n}", "Calle del {S}, {n}, {m}º A"],
@@ -79,7 +79,7 @@ NO_ITEMS = [
 ]
 HEADERS = ["Curriculum Vitae - {name}", "Curriculum Vitae    {name}", "{name}  |  CV", "{name}, {job}", "{name}  |  CV   {p}", "Curriculum Vitae - {name}   {p}", "CV {name}"]
 REFEREES = ["{name}, {org}", "{name}, {org}, {email}", "{name}, {org}, {phone}", "{name}, {org} - {phone}", "{name}, {org}, Tel. {phone}", "{name}, {org}, {email}"]
-SEPARATORS = [" | ", " · ", ", ", "  ", "  ", "\n", "\n", "\n"]
+SEPARATORS = [" | ", " · ", ", ", "  ", "  ", "  ", "  ", "\n", "\n", "\n"]
 HEADINGS = "References|Referenzen|Références|Referencias|Referências|المراجع".split("|")
 DETAILS = "Personal details|Persönliche Angaben|Informations personnelles|Datos personales|Dados pessoais|البيانات الشخصية".split("|")
 
@@ -182,8 +182,8 @@ class Writer:
             some()
         if r.random() < 0.35:
             parts.append((r.choice(["", "- ", "• "]) + self.fill(r.choice(NO_ITEMS)) + "\n", None))
-        if r.random() < 0.3:
-            add(r.choice(["{addr}", "{addr}", "{addr}", "{phone}", "{email}"]))
+        for _ in range(r.choice([0, 0, 1, 2])):
+            add(r.choice(["{addr}", "{addr}", "{addr}", "{addr}", "{phone}", "{email}"]))
         if r.random() < 0.5:
             add(r.choice(HEADINGS))
             for _ in range(r.randrange(1, 4)):
