@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.functions.dates import ascii_digits
 from lectern.plans.registry import CURRENT, PAGES, Registry
+from lectern.sources.shared import small
 from lectern.sources.tables import current_profiles, latest, table
 
 R = Registry()
@@ -77,9 +78,9 @@ p as (select profile_id, page, {_NORM.format('text')} as t from {PAGES} where te
 select d.profile_id, d.part, d.quote, cast(min(p.page) as int) as page from d left join p on d.profile_id = p.profile_id and contains(p.t, {_NORM.format('d.quote')}) group by all""")
 def quote_verify(spark, sf_dir):
     """The first page of its profile that each evidence quote stands on, null if it stands on none."""
-    c = current_profiles(spark, sf_dir, ["skills", "experiences", "education"])
-    one = lambda part, col: c.select("profile_id", F.lit(part).alias("part"), F.explode(F.col(f"{col}.evidence.quote")).alias("quote"))
-    quotes = one("skill", "skills").unionByName(one("experience", "experiences")).unionByName(one("education", "education")).where("length(trim(quote)) >= 8").distinct()
+    tagged = lambda part, col: F.coalesce(F.transform(f"{col}.evidence.quote", lambda q: F.struct(F.lit(part).alias("part"), q.alias("quote"))), F.array().cast("array<struct<part:string,quote:string>>"))
+    c = current_profiles(spark, sf_dir, {"q": F.concat(tagged("skill", "skills"), tagged("experience", "experiences"), tagged("education", "education"))})
+    quotes = c.select("profile_id", F.inline("q")).where("length(trim(quote)) >= 8").distinct()
     p = pages(spark, sf_dir, ["profile_id", "page", "text"]).where("text is not null").select(F.col("profile_id").alias("pid"), "page", T.norm(F.col("text")).alias("t"))
     joined = quotes.join(p, (F.col("profile_id") == F.col("pid")) & F.col("t").contains(T.norm(F.col("quote"))), "left")
     return joined.groupBy("profile_id", "part", "quote").agg(F.min("page").alias("page"))
@@ -94,7 +95,7 @@ def term_verify(spark, sf_dir):
     """Pages and profiles on which each reference skill stands as whole words, in singular or plural; the list of terms is small and fixed."""
     terms = table(spark, sf_dir, "skill_terms").select("term_id", "term", T.term_pattern(F.col("term")).alias("pattern"))
     p = pages(spark, sf_dir, ["profile_id", "text"])
-    hits = p.join(F.broadcast(terms), F.expr("text rlike pattern")).groupBy("term_id").agg(F.countDistinct("page_id").alias("pages"), F.countDistinct("profile_id").alias("profiles"))
+    hits = p.join(small(terms), F.expr("text rlike pattern")).groupBy("term_id").agg(F.countDistinct("page_id").alias("pages"), F.countDistinct("profile_id").alias("profiles"))
     return terms.select("term_id", "term").join(hits, "term_id", "left").na.fill(0, ["pages", "profiles"])
 
 

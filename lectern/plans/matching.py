@@ -12,6 +12,7 @@ from lectern.operators.similar_sets import similar_texts
 from lectern.plans.records import p6_found
 from lectern.plans.records_sql import P6
 from lectern.plans.registry import CURRENT, Registry
+from lectern.sources.shared import small
 from lectern.sources.tables import current_profiles, table
 
 R = Registry()
@@ -55,7 +56,7 @@ def semantic_best(spark, sf_dir):
         return n.withColumn("l", F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key))))
 
     a, b = bag(names, "name", "name"), bag(table(spark, sf_dir, "skill_terms"), "term_id", "term").withColumnsRenamed({"n": "m", "l": "r"})
-    s = a.join(F.broadcast(b), "b").groupBy("name", "term_id", "l", "r").agg(F.sum(F.col("n") * F.col("m")).alias("dot")).select("name", "term_id", F.round(F.col("dot") / (F.col("l") * F.col("r")), 6).alias("similarity"))
+    s = a.join(small(b), "b").groupBy("name", "term_id", "l", "r").agg(F.sum(F.col("n") * F.col("m")).alias("dot")).select("name", "term_id", F.round(F.col("dot") / (F.col("l") * F.col("r")), 6).alias("similarity"))
     return s.groupBy("name").agg(F.max_by("term_id", F.struct("similarity", -F.col("term_id"))).alias("term_id"), F.max("similarity").alias("similarity"))
 
 
@@ -81,7 +82,7 @@ def verdicts(spark: SparkSession, sf_dir: str, request_id: int = _REQUEST) -> Da
         F.when(years & F.col("years").isNull(), "unverified").when(years & listed & (F.col("years") >= F.col("min_years")), "met").when(years & listed & (F.col("years") >= 0.75 * F.col("min_years")), "partial").when(years, "missing")
         .when(listed, "met").when(F.exists("kws", lambda k: F.col("t").contains(k)), "partial").otherwise("missing")
     )
-    return c.crossJoin(F.broadcast(q)).select("profile_id", "req_id", "kind", verdict.alias("verdict"))  # one request's requirements: a handful of rows
+    return c.crossJoin(small(q)).select("profile_id", "req_id", "kind", verdict.alias("verdict"))  # one request's requirements: a handful of rows
 
 
 _CREDIT = "case verdict when 'met' then 2 when 'partial' then 1 when 'missing' then 0 end * case when kind = 'required' then 5 else 2 end"

@@ -12,6 +12,7 @@ from lectern.plans.anchors import quote_verify
 from lectern.plans.matching import VERDICTS_SQL, verdicts
 from lectern.plans.registry import CURRENT, PAGES, Registry
 from lectern.plans.relational import contact_key_edges
+from lectern.sources.shared import small
 from lectern.sources.tables import current_profiles, latest, table
 
 R = Registry()
@@ -168,7 +169,7 @@ def first_needle(spark, sf_dir):
     """The first reference skill that the text of each requirement contains; the list of skills is small and fixed."""
     r = table(spark, sf_dir, "requirements").where("text is not null").select("request_id", "req_id", F.lower("text").alias("t"))
     s = table(spark, sf_dir, "skill_terms").where("length(term) > 3")
-    return r.join(F.broadcast(s), F.col("t").contains(F.lower("term"))).groupBy("request_id", "req_id").agg(F.min_by("term", "term_id").alias("term"))
+    return r.join(small(s), F.col("t").contains(F.lower("term"))).groupBy("request_id", "req_id").agg(F.min_by("term", "term_id").alias("term"))
 
 
 @R.query("""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -19,3 +20,8 @@ def stored(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared folder and read from there: later uses don't compute them again and survive lost executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def small(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """The rows with a broadcast hint if there are at most so many (counted, a limit beyond it), else without one: Spark then joins by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -71,3 +71,10 @@ def test_latest(spark, rows):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, None, "c"), (None, 5, "d"), (2, None, None)], "k int, o int, v string")
     assert rows(latest(df, "k", ["o"], ["v"])) == [(1, "b"), (2, None)]
     assert rows(latest(df.limit(0), "k", ["o"], ["v"])) == []
+
+
+def test_broadcast_only_what_is_small(spark):
+    from lectern.sources.shared import small
+
+    plan = lambda df: df._jdf.queryExecution().logical().toString()
+    assert "broadcast" in plan(small(spark.range(10), 10)) and "broadcast" not in plan(small(spark.range(11), 10))
