@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.tokens import TOKENIZER, count_tokens
-from lectern.sources.shared import stored
+from lectern.sources.shared import small, stored
 
 #: Items that one task rounds, on average, and residuals that one task of the next level of the tree combines.
 SHARD_ITEMS, FAN_IN = 20_000, 1_000
@@ -59,7 +59,7 @@ def copies(df: DataFrame, id_col: str, source_col: str, size_col: str, targets:
     items = stored(
         df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(size_col).cast("int").alias("size"))
         .where("id is not null and size > 0")
-        .join(F.broadcast(t), "source")
+        .join(small(t), "source")
         .groupBy("id")
         .agg(F.max(F.struct("size", "source", "share", "cap")).alias("x"))
         .select("id", "x.*")
@@ -126,7 +126,7 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
 
 def _documents(spark: SparkSession, sf_dir: str, tokenizer: str) -> tuple[DataFrame, DataFrame]:
     targets = spark.read.parquet(f"{sf_dir}/mix_targets.parquet")
-    wanted = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text").join(F.broadcast(targets.select("source")), "source", "left_semi")
+    wanted = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text").join(small(targets.select("source")), "source", "left_semi")
     return wanted.select("doc_id", "source", count_tokens(F.col("text"), tokenizer).alias("tokens")), targets
 
 
