@@ -18,8 +18,8 @@ _RULES = [
     (SPACE, re.compile(r"\s+")),
     (CLAUSE, re.compile(r"[,;:،؛)\]–—]\s+")),
     (SENTENCE, re.compile(r"[.!?؟。…][\"'»”)\]]*\s+")),
-    (LINE, re.compile(r"[^\S\n]*\n\s*")),
-    (PARAGRAPH, re.compile(r"[^\S\n]*\n[^\S\n]*\n\s*")),
+    (LINE, re.compile(r"(?<![^\S\n])[^\S\n]*\n\s*")),
+    (PARAGRAPH, re.compile(r"(?<![^\S\n])[^\S\n]*\n[^\S\n]*\n\s*")),
 ]
 
 
