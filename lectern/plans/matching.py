@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -12,8 +12,8 @@ from lectern.operators.similar_sets import similar_texts
 from lectern.plans.records import p6_found
 from lectern.plans.records_sql import P6
 from lectern.plans.registry import CURRENT, Registry
-from lectern.sources.shared import small
-from lectern.sources.tables import current_profiles, table
+from lectern.sources.shared import small, stored
+from lectern.sources.tables import current_profiles, latest, table
 
 R = Registry()
 
@@ -61,12 +61,13 @@ def semantic_best(spark, sf_dir):
 
 
 _REQUEST = 1
+_CASE = """case
+  when rtype = 'years' and years is null then 'unverified' when rtype = 'years' and list_has_any(names, kws) and years >= min_years then 'met' when rtype = 'years' and list_has_any(names, kws) and years >= 0.75 * min_years then 'partial' when rtype = 'years' then 'missing'
+  when list_has_any(names, kws) then 'met' when len(list_filter(kws, lambda k: contains(t, k))) > 0 then 'partial' else 'missing' end as verdict"""
 VERDICTS_SQL = f"""
 c as (select profile_id, total_years_experience.value as years, coalesce(list_transform(list_filter(skills, lambda s: s.name is not null), lambda s: lower(s.name)), []) as names, lower(coalesce(full_text, '')) as t from {CURRENT} where extraction.status = 'OK'),
 q as (select distinct req_id, kind, rtype, coalesce(list_transform(keywords, lambda k: lower(k)), []) as kws, min_years from requirements where request_id = {_REQUEST}),
-v as (select profile_id, req_id, kind, case
-  when rtype = 'years' and years is null then 'unverified' when rtype = 'years' and list_has_any(names, kws) and years >= min_years then 'met' when rtype = 'years' and list_has_any(names, kws) and years >= 0.75 * min_years then 'partial' when rtype = 'years' then 'missing'
-  when list_has_any(names, kws) then 'met' when len(list_filter(kws, lambda k: contains(t, k))) > 0 then 'partial' else 'missing' end as verdict from c cross join q)"""
+v as (select profile_id, req_id, kind, {_CASE} from c cross join q)"""
 
 
 def verdicts(spark: SparkSession, sf_dir: str, request_id: int = _REQUEST) -> DataFrame:
@@ -118,6 +119,102 @@ def gap_counts(spark, sf_dir):
     return verdicts(spark, sf_dir).where("verdict = 'missing'").groupBy("req_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "req_id").limit(3)
 
 
+REQUESTS_SQL = f"""
+c as (select profile_id, chat_id, total_years_experience.value as years, coalesce(list_transform(list_filter(skills, lambda s: s.name is not null), lambda s: lower(s.name)), []) as names, lower(coalesce(full_text, '')) as t from {CURRENT} where extraction.status = 'OK'),
+o as (select request_id, chat_id from score_requests where request_id is not null qualify row_number() over (partition by request_id order by ingested_at desc nulls last) = 1),
+q as (select distinct request_id, chat_id, req_id, kind, rtype, coalesce(list_transform(keywords, lambda k: lower(k)), []) as kws, min_years from requirements join o using (request_id)),
+v as (select request_id, profile_id, req_id, kind, {_CASE} from c join q using (chat_id))"""
+#: Profiles and requests of one session that meet in one task.
+PROFILE_BLOCK, REQUEST_BLOCK = 500, 200
+_VERDICTS = ["missing", "partial", "met", "unverified"]
+
+
+def _block(n: str, size: int) -> Column:
+    return F.ceil(F.col(n) / size).cast("int")
+
+
+def session_verdicts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(profiles, requests, sizes): each readable profile's verdicts on the distinct tests of its session's requirements, and the requirements of every request as places in them.
+
+    profiles: chat_id, a, profile_id, codes (by test, index into _VERDICTS). requests: chat_id, b, request_id, reqs (req_id, kind, test). sizes: chat_id, as, bs, the numbers of blocks
+    that a session's profiles and requests are hashed into. Many requirements are one test (kind of test, keywords, years), which is judged once for each profile.
+    """
+    kws = F.coalesce(F.transform("keywords", F.lower), F.array().cast("array<string>"))
+    own = latest(table(spark, sf_dir, "score_requests"), "request_id", ["ingested_at"], ["chat_id"]).where("chat_id is not null")
+    reqs = table(spark, sf_dir, "requirements").select("request_id", "req_id", "kind", F.struct("rtype", kws.alias("kws"), "min_years").alias("test")).distinct().join(own, "request_id")
+    tests = reqs.groupBy("chat_id").agg(F.array_sort(F.collect_set("test")).alias("tests"), F.count_distinct("request_id").alias("requests"))  # the distinct tests of a session
+    keep = {
+        "chat_id": F.col("chat_id"), "years": F.col("total_years_experience.value"), "st": F.col("extraction.status"), "t": F.lower(F.coalesce("full_text", F.lit(""))),
+        "names": F.coalesce(F.transform(F.filter("skills", lambda s: s["name"].isNotNull()), lambda s: F.lower(s["name"])), F.array().cast("array<string>")),
+    }
+    c = stored(current_profiles(spark, sf_dir, keep).where("st = 'OK' and chat_id is not null"))
+    tests = stored(tests.join(c.groupBy("chat_id").agg(F.count("*").alias("profiles")), "chat_id").select("chat_id", "tests", _block("profiles", PROFILE_BLOCK).alias("as"), _block("requests", REQUEST_BLOCK).alias("bs")))
+    sizes = tests.select("chat_id", "as", "bs")
+
+    def code(x: Column) -> Column:
+        listed, enough = F.arrays_overlap("names", x["kws"]), lambda share: F.col("years") >= share * x["min_years"]
+        of_years = F.when(F.col("years").isNull(), 3).when(listed & enough(1.0), 2).when(listed & enough(0.75), 1).otherwise(0)
+        return F.when(x["rtype"] == "years", of_years).when(listed, 2).when(F.exists(x["kws"], lambda k: F.col("t").contains(k)), 1).otherwise(0).cast("byte")
+
+    sided = c.join(small(sizes), "chat_id").withColumn("a", F.pmod(F.xxhash64("profile_id"), F.col("as")).cast("int")).drop("as", "bs")
+    spread = tests.select("chat_id", "tests", F.explode(F.sequence(F.lit(0), F.col("as") - 1)).alias("a"))  # a session's tests to each block of its profiles
+    profiles = sided.join(spread, ["chat_id", "a"]).select("chat_id", "a", "profile_id", F.transform("tests", code).alias("codes"))
+    placed = reqs.join(tests, "chat_id").select("chat_id", F.pmod(F.xxhash64("request_id"), F.col("bs")).cast("int").alias("b"), "request_id", "req_id", "kind", F.array_position("tests", F.col("test")).cast("int").alias("test"))
+    requests = placed.groupBy("chat_id", "b", "request_id").agg(F.sort_array(F.collect_list(F.struct("req_id", "kind", (F.col("test") - 1).alias("test")))).alias("reqs"))  # at most a request's requirements
+    return profiles, requests, sizes
+
+
+def request_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request_id, profile_id, vs) of every request with every readable profile of its session; vs: (req_id, kind, code) of each requirement, the code an index into _VERDICTS.
+
+    A block of profiles meets a block of requests, so that a large session is spread over many tasks.
+    """
+    profiles, requests, sizes = session_verdicts(spark, sf_dir)
+    sizes = small(sizes)
+    p = stored(profiles).join(sizes, "chat_id").select("chat_id", "a", F.explode(F.sequence(F.lit(0), F.col("bs") - 1)).alias("b"), "profile_id", "codes")
+    r = requests.join(sizes, "chat_id").select("chat_id", F.explode(F.sequence(F.lit(0), F.col("as") - 1)).alias("a"), "b", "request_id", "reqs")
+    return p.join(r.hint("shuffle_hash"), ["chat_id", "a", "b"]).select("request_id", "profile_id", F.transform("reqs", lambda x: F.struct(x["req_id"].alias("req_id"), x["kind"].alias("kind"), F.get("codes", x["test"]).alias("code"))).alias("vs"))
+
+
+def request_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request_id, req_id, verdict, n): how many readable profiles of its session get each verdict on each requirement; counted by test, then given to the requirements."""
+    profiles, requests, _ = session_verdicts(spark, sf_dir)
+    n = profiles.select("chat_id", F.posexplode("codes").alias("test", "code")).groupBy("chat_id", "test", "code").agg(F.count("*").alias("n"))
+    each = requests.select("chat_id", "request_id", F.inline("reqs")).select("chat_id", "request_id", "req_id", "test").distinct()
+    names = F.array(*map(F.lit, _VERDICTS))
+    return each.join(n, ["chat_id", "test"]).groupBy("request_id", "req_id", F.get(names, F.col("code")).alias("verdict")).agg(F.sum("n").alias("n"))
+
+
+@R.query(f"""with {REQUESTS_SQL},
+s as (select request_id, profile_id, sum({_CREDIT}) as got, sum(case when verdict <> 'unverified' then 2 * case when kind = 'required' then 5 else 2 end end) as possible, count_if(verdict = 'met') as met, count_if(verdict = 'missing' and kind = 'required') as missing_required from v group by all),
+z as (select request_id, profile_id, cast(round_even(100.0 * got / possible, 0) as bigint) as score, cast(met as bigint) as met, cast(missing_required as bigint) as missing_required from s where possible > 0)
+select *, cast(rank() over (partition by request_id order by score desc) as bigint) as place from z qualify place <= 50""")
+def fit_score_requests(spark, sf_dir):
+    """Profiles scored against every request of their session and ranked within it, ties sharing a place, down to place 50; unverified requirements leave both sums."""
+    weight = lambda x: F.when(x["kind"] == "required", 5).otherwise(2)
+    total = lambda f: F.aggregate("vs", F.lit(0), lambda acc, x: acc + f(x))
+    z = request_pairs(spark, sf_dir).select(
+        "request_id", "profile_id", total(lambda x: F.when(x["code"] < 3, x["code"] * weight(x)).otherwise(0)).alias("got"), total(lambda x: F.when(x["code"] < 3, 2 * weight(x)).otherwise(0)).alias("possible"),
+        total(lambda x: F.when(x["code"] == 2, 1).otherwise(0)).cast("long").alias("met"), total(lambda x: F.when((x["code"] == 0) & (x["kind"] == "required"), 1).otherwise(0)).cast("long").alias("missing_required"),
+    )
+    z = z.where("possible > 0").select("request_id", "profile_id", F.bround(100.0 * F.col("got") / F.col("possible"), 0).cast("long").alias("score"), "met", "missing_required")
+    # Spark keeps the first 50 places of each task before the shuffle.
+    return z.withColumn("place", F.rank().over(Window.partitionBy("request_id").orderBy(F.desc("score"))).cast("long")).where("place <= 50")
+
+
+@R.query(f"with {REQUESTS_SQL} select request_id, req_id, verdict, cast(count(*) as bigint) as n from v group by all")
+def verdict_matrix_requests(spark, sf_dir):
+    """How often each requirement of every request gets each verdict in its session."""
+    return request_counts(spark, sf_dir)
+
+
+@R.query(f"with {REQUESTS_SQL} select request_id, req_id, cast(count(*) as bigint) as n from v where verdict = 'missing' group by 1, 2 qualify row_number() over (partition by request_id order by n desc, req_id) <= 3")
+def gap_counts_requests(spark, sf_dir):
+    """The three requirements of every request that most profiles of its session miss."""
+    n = request_counts(spark, sf_dir).where("verdict = 'missing'").select("request_id", "req_id", "n")
+    return n.withColumn("k", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("n"), "req_id"))).where("k <= 3").drop("k")
+
+
 @R.query(f"""
 with x as (select coalesce(extraction.status = 'OK', false) as a, coalesce(extraction.field_coverage >= 0.6, false) as b from {CURRENT}),
 m as (select count(*)::double as n, sum(if(a = b, 1, 0))::double as same, sum(if(a, 1, 0))::double as pa, sum(if(b, 1, 0))::double as pb from x)

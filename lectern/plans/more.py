@@ -9,7 +9,7 @@ from lectern.functions import text as T
 from lectern.operators.resolve import absorb
 from lectern.plans.anchors import SQL as ANCHOR_SQL
 from lectern.plans.anchors import quote_verify
-from lectern.plans.matching import VERDICTS_SQL, verdicts
+from lectern.plans.matching import REQUESTS_SQL, VERDICTS_SQL, request_pairs, verdicts
 from lectern.plans.registry import CURRENT, PAGES, Registry
 from lectern.plans.relational import contact_key_edges
 from lectern.sources.shared import small
@@ -153,6 +153,13 @@ def verdict_lists(spark, sf_dir):
     return verdicts(spark, sf_dir).groupBy("profile_id").agg(some("verdict = 'met'").alias("met"), some("verdict = 'missing' and kind = 'required'").alias("missing_required"), some("verdict = 'unverified'").alias("unverified"))
 
 
+@R.query(f"with {REQUESTS_SQL} select request_id, profile_id, string_agg(case when verdict = 'met' then req_id end, ',' order by req_id) as met, string_agg(case when verdict = 'missing' and kind = 'required' then req_id end, ',' order by req_id) as missing_required, string_agg(case when verdict = 'unverified' then req_id end, ',' order by req_id) as unverified from v group by all")
+def verdict_lists_requests(spark, sf_dir):
+    """Which requirements of every request each profile of its session meets, misses and leaves open, as lists."""
+    some = lambda f: F.nullif(F.array_join(F.transform(F.filter("vs", f), lambda x: x["req_id"]), ","), F.lit(""))
+    return request_pairs(spark, sf_dir).select("request_id", "profile_id", some(lambda x: x["code"] == 2).alias("met"), some(lambda x: (x["code"] == 0) & (x["kind"] == "required")).alias("missing_required"), some(lambda x: x["code"] == 3).alias("unverified"))
+
+
 @R.query(f"""
 with c as (select profile_id, list_transform(list_filter(skills, lambda s: s.name is not null), lambda s: s.name) as n from {CURRENT})
 select profile_id, array_to_string(n[1:4], ', ') || case when len(n) > 4 then ' …' else '' end as cell, repeat('█', least(10, len(n))) as bar from c where len(n) > 0""")
