@@ -13,6 +13,13 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 LINK = r"(?:https?://|www\.)[^ \t\n<>]+"
 PHONE_INTL = r"\+[0-9][0-9 ()./-]{7,18}[0-9]"
 PHONE_KEYED = r"(?i)(?:phone|mobile|tel|m|هاتف|جوال)[.: ]+([+(]?[0-9][0-9 ()./+-]{6,20}[0-9])"
+# The three forms of a number with the digits that each may have, in their order. An international number that is too short by itself goes on in the next line; months before years are no local numbers.
+_GAP = r"(?:\h?[()./-]{1,2}\h?|\h)?"
+PHONE_FORMS = [
+    (r"(?iU)(?:(?:(?<!\p{L})tel|mobile|phone|cell|fax|whats\h*app|جوال|هاتف|موبايل|تليفون)(?:[:.\h]*|:\h*\n\h*)|(?<!\p{L})m[.:\h]+)([+(]?\d[\d\h()./+-]{6,20}\d)", 8, 15),
+    (rf"(?U)((?:\+|(?<!\d)00)(?:(?:{_GAP}\d){{9,15}}|(?:{_GAP}\d){{1,8}}\h?\n(?:{_GAP}\d){{3,12}})(?!\d))", 9, 15),
+    (r"(?U)(?<!\d)(?!0\d[./-](?:19|20)\d\d(?!\d))(0\d[\d\h()./-]{7,12}\d)(?!\d)", 9, 11),
+]
 # Domains and local parts that stand for no real address.
 PLACEHOLDER_DOMAIN = r"(^|\.)(example|test|invalid|localhost|example\.(com|org|net))$"
 PLACEHOLDER_LOCAL = r"^(your|name|email|user|username|firstname|lastname|first\.last|someone)$"
@@ -83,6 +90,19 @@ def phones(text: Column) -> Column:
     return F.aggregate(usable, empty, lambda acc, x: F.when(F.exists(acc, lambda y: y["key"] == x["key"]), acc).otherwise(F.concat(acc, F.array(x))))
 
 
+def all_phones(text: Column) -> Column:
+    """Distinct numbers as (key, raw) in all forms of PHONE_FORMS: keyed, international with + or 00, local with a leading 0; the first form of a key stays."""
+    plain = ascii_digits(text)
+
+    def form(pattern: str, least: int, most: int) -> Column:
+        return F.filter(F.regexp_extract_all(plain, F.lit(pattern), 1), lambda x: F.length(F.regexp_replace(x, "[^0-9]", "")).between(least, most))
+
+    found = F.concat(*[form(*f) for f in PHONE_FORMS])
+    keyed = F.transform(found, lambda x: F.struct(phone_key(x).alias("key"), x.alias("raw")))
+    empty = F.array().cast("array<struct<key:string,raw:string>>")
+    return F.aggregate(keyed, empty, lambda acc, x: F.when(F.exists(acc, lambda y: y["key"] == x["key"]), acc).otherwise(F.concat(acc, F.array(x))))
+
+
 def term_pattern(term: Column) -> Column:
     """A pattern that finds a term as whole words, case aside, in singular or plural of its last word."""
     t = F.regexp_replace(norm(term), r"([\\.+*?()\[\]{}|^$#-])", r"\\$1")

@@ -60,6 +60,12 @@ def phones_found(spark, sf_dir):
     return pages(spark, sf_dir, ["text"]).select("page_id", F.inline(T.phones(F.col("text"))))
 
 
+@R.query()
+def phones_all(spark, sf_dir):
+    """Telephone numbers of pages in all forms: keyed, international with + or 00 and local ones, one for each key. Its lookbehinds have no form in SQL."""
+    return pages(spark, sf_dir, ["text"]).select("page_id", F.inline(T.all_phones(F.col("text"))))
+
+
 @R.query(f"""
 with c as (select profile_id, list_filter(identity.emails, lambda x: trim(x) <> '') as e, list_filter(identity.phones, lambda x: length(regexp_replace({_DIG.format('x')}, '[^0-9]', '', 'g')) >= 8) as p from {CURRENT})
 select profile_id, case when len(e) > 0 then 'email:' || lower(trim(e[1])) when len(p) > 0 then 'phone:' || right(regexp_replace({_DIG.format('p[1]')}, '[^0-9]', '', 'g'), 9) end as anchor from c""")
