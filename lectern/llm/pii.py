@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lectern.llm.chars import aligned, canonical
 from lectern.llm.crf import Crf
 from lectern.llm.pii_table import ARABIC_GIVEN, ID_WORDS, KINDS, LABELS, LINES, TOKEN, Writer
+from lectern.sources.tables import latest
 
 #: Pages whose lines without items stand around the marked ones in training, at most, and marked pages written.
 SAMPLE_PAGES, TRAIN_PAGES = 1_500, 9_000
@@ -206,6 +207,13 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(profiles, "profile_id", "full_text", fit(pages, "text", "page_id")).withColumnRenamed("id", "profile_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted}
+def p1_redacted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of all pages with placeholders; re-delivered pages once."""
+    pages = spark.read.parquet(f"{sf_dir}/cv_pages.parquet")
+    once = latest(pages, "page_id", ["ingested_at"], ["text"])
+    return redact(once, "page_id", "text", fit(pages, "text", "page_id")).withColumnRenamed("id", "page_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p1_redacted_pages": p1_redacted_pages}
 SQL: dict[str, str] = {}
 assert set(KINDS) == {x[2:] for x in LABELS if x != "O"}
