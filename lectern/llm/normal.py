@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.chars import ARABIC_LOOKALIKES, LATIN_LOOKALIKES, PERSIAN_ONLY, PERSIAN_WORDS, SPACES, char_class, tables
+from lectern.sources.tables import latest
 
 #: What was changed in a line: a letter or digit in another form, a ligature, a combining mark, an invisible character, a space, a look-alike.
 KINDS = ["styled", "combining", "invisible", "space", "lookalike"]
@@ -92,9 +93,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page text in its one form, with what was changed; re-delivered pages once."""
+    """Every page text and job description in its one form, with what was changed; re-delivered pages and requests once."""
     pages = spark.read.parquet(f"{sf_dir}/cv_pages.parquet").select("page_id", "text").dropDuplicates(["page_id"])
-    return canonical_text(pages, "page_id", "text").withColumnRenamed("id", "page_id").drop("line_no")
+    jobs = latest(spark.read.parquet(f"{sf_dir}/score_requests.parquet"), "request_id", ["ingested_at"], {"text": F.col("jd_text")})
+    one = lambda df, i, o: canonical_text(df, i, "text").select(F.lit(o).alias("origin"), F.col("id").alias("item_id"), "canonical", *KINDS)
+    return one(pages, "page_id", "page").unionByName(one(jobs, "request_id", "jd"))
 
 
 QUERIES = {"p5_found": p5_found, "p5_canonical": p5_canonical}
