@@ -110,30 +110,42 @@ def _year(m: Column) -> Column:
     return F.floor(m / 12).cast("int")
 
 
-def contact_uses(persons: DataFrame) -> DataFrame:
-    """(key, f, g): how many family names (last tokens) and first letters of given names stand on each contact; tells a household and an agency from a person."""
-    use = persons.select(F.explode("contacts").alias("key"), F.substring(F.element_at("tokens", 1), 1, 1).alias("g"), F.element_at("tokens", F.size("tokens")).alias("f"))
+def family_forms(stats: DataFrame, near: DataFrame) -> DataFrame:
+    """(token, family, form): one form for the spellings of a family name, namely the consonants of the most frequent token that is like it, or that token itself where they are few."""
+    best = near.join(stats.select(F.col("token").alias("other"), "n"), "other").groupBy("token").agg(F.max_by("other", F.struct("n", "other")).alias("other"))
+    whole = stats.select("token").join(best, "token", "left").select("token", F.coalesce("other", "token").alias("whole"))
+    return whole.join(stats.select(F.col("token").alias("whole"), "family", "bone"), "whole").select("token", "family", F.when(F.length("bone") > 3, F.col("bone")).otherwise(F.col("whole")).alias("form"))
+
+
+def contact_uses(persons: DataFrame, forms: DataFrame) -> DataFrame:
+    """(key, f, g): how many family names and first letters of given names stand on each contact; tells a household and an agency from a person.
+
+    Spellings of a family name count once; it is the last token that stands last in most names, so that reordered names don't add others.
+    """
+    family = persons.select("id", F.posexplode("tokens").alias("k", "token")).join(forms, "token").groupBy("id").agg(F.max_by("form", F.struct("family", "k")).alias("f"))
+    use = persons.select("id", F.explode("contacts").alias("key"), F.substring(F.element_at("tokens", 1), 1, 1).alias("g")).join(family, "id", "left")
     return use.groupBy("key").agg(F.approx_count_distinct("f", 0.02).alias("f"), F.approx_count_distinct("g", 0.02).alias("g"))
 
 
-def candidates(persons: DataFrame, stats: DataFrame, uses: DataFrame) -> DataFrame:
+def candidates(persons: DataFrame, stats: DataFrame, near: DataFrame, uses: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b, that share a contact, or a dated role and a family-name token or two similar ones.
 
-    Roles are hashed together with the token, so that an employer that many share isn't a group by itself; contacts on which many family names stand are no
-    evidence and drop out before the join.
+    Roles are hashed together with the token, so that an employer that many share isn't a group by itself; so are contacts on which many family names stand, which
+    are no evidence.
     """
     spelled = stats.select("token", "family", F.explode(F.array("token", "bone")).alias("as")).where("as is not null")
-    near = similar_tokens(stats).join(stats.select("token", "family"), "token").select("token", "family", F.col("other").alias("as"))
+    near = near.join(stats.select("token", "family"), "token").select("token", "family", F.col("other").alias("as"))
     forms = spelled.unionByName(near)
     named = persons.select("id", F.explode(F.array_distinct("tokens")).alias("token")).join(forms, "token").select("id", "family", "as")
     families = named.groupBy("id").agg(F.collect_set(F.when(F.col("family"), F.col("as"))).alias("f"), F.collect_set("as").alias("all"))  # at most a name's forms
     families = families.select("id", F.explode(F.when(F.size("f") > 0, F.col("f")).otherwise(F.col("all"))).alias("as"))
-    contacts = persons.select("id", F.explode("contacts").alias("key")).join(uses.where(f"f > {SHARED_BY + 4}").select("key"), "key", "left_anti")
+    contacts = persons.select("id", F.explode("contacts").alias("key")).join(uses.select("key", (F.col("f") > SHARED_BY + 4).alias("many")), "key")
     r = F.col("r")
     at = F.when((r["org"] != "") & r["e"].isNotNull(), F.concat_ws("|", F.lit("o"), r["org"], _year(r["s"]), _year(r["e"])))
     exact = F.when(r["sm"] & r["em"], F.concat_ws("|", F.lit("d"), r["s"], r["e"]))
     roles = persons.select("id", F.explode("roles").alias("r")).select("id", F.explode(F.array_compact(F.array(at, exact))).alias("key")).distinct()
-    keyed = roles.join(families, "id").select(F.xxhash64("key", "as").alias("h"), "id").unionByName(contacts.select(F.xxhash64("key").alias("h"), "id"))
+    named_keys = roles.unionByName(contacts.where("many").select("id", "key")).join(families, "id").select(F.xxhash64("key", "as").alias("h"), "id")
+    keyed = named_keys.unionByName(contacts.where("not many").select(F.xxhash64("key").alias("h"), "id"))
     return keyed.alias("x").join(keyed.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
@@ -221,8 +233,10 @@ def linked(persons: DataFrame) -> DataFrame:
     before: see ``p2_found``. Ties don't matter, as each pair is judged by itself; an empty table gives an empty result.
     """
     persons = stored(persons)
-    stats, uses = stored(token_stats(persons)), stored(contact_uses(persons))
-    pairs = stored(candidates(persons, stats, uses))
+    stats = stored(token_stats(persons))
+    near = stored(similar_tokens(stats))
+    uses = stored(contact_uses(persons, family_forms(stats, near)))
+    pairs = stored(candidates(persons, stats, near, uses))
     n = persons.count()
     both_ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     met = persons.join(both_ids, "id", "left_semi")  # the rest has no pair to be judged in
