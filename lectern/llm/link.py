@@ -1,40 +1,57 @@
 """Profiles of one person under different spellings of the name.
 
-1. Distinct name tokens are joined with each other by a prefix-filtered set-similarity join on their q-grams, rarest first.
-2. Profiles are paired if they share a piece of evidence (a contact, a dated role) and have a token of the family name in common or two that step 1 joined.
+1. Every profile is sent to the places where its evidence stands: contacts that belong to no crowd, dated roles.
+2. There a prefix-filtered set-similarity join on the q-grams of name tokens finds the names that may be spellings of one. It is the only source of pairs.
 3. Each pair is verified by soft weighted token similarity, in which rare tokens count more, and by what contacts and careers say together.
 """
 
 from __future__ import annotations
 
 import datetime
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from itertools import groupby
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.dates import parse_month
-from lectern.llm.names import alike, parse, similarity, skeleton
-from lectern.sources.shared import stored
+from lectern.llm.names import alike, nicknames, parse, similarity, skeleton
+from lectern.sources.shared import small, stored
 from lectern.sources.tables import current_profiles
 
-#: Least Jaccard similarity of the q-grams of two tokens that may be spellings of one, and the length of the grams.
-TOKEN_SIMILARITY, Q = 0.4, 2
-#: Least soft similarity of two names.
-NAME_SIMILARITY = 0.8
-#: A contact with more family names than this on it belongs to no person.
-SHARED_BY = 2
+#: Least Jaccard similarity of the q-grams of two tokens that may be spellings of one, and the length of the grams. One edit in four letters and two in six stay above it.
+TOKEN_SIMILARITY, Q = 0.25, 2
+#: Least soft similarity of two names, and the least where contacts and career agree both.
+NAME_SIMILARITY, NAME_FLOOR = 0.8, 0.4
+#: A contact with more families than this on it belongs to no person and is no evidence; spellings of a family name count once.
+SHARED_BY = 4
+#: Profiles of one piece of evidence that meet in one task, and places of the table of gram frequencies.
+BLOCK, GRAM_PLACES = 2_000, 1 << 16
 _DIGITS = str.maketrans("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
 _ROLE = "struct<org:string,s:int,sm:boolean,e:int,em:boolean>"
 _PERSON = f"id bigint, tokens array<string>, contacts array<string>, roles array<{_ROLE}>, edu array<string>"
 
 
-def grams(token: str) -> list[str]:
-    """Distinct q-grams of a padded token, without those of the middle padding."""
-    w = f"^{token}$"
-    return sorted({w[i : i + Q] for i in range(len(w) - Q + 1)})
+def grams(form: str) -> frozenset[str]:
+    """Distinct q-grams of a padded token; those of consonants (~) are told from those of letters, a class of short forms (#) is one gram."""
+    if form[0] == "#":
+        return frozenset((form,))
+    mark, w = ("~", form[1:]) if form[0] == "~" else ("", form)
+    w = f"^{w}$"
+    return frozenset(mark + w[i : i + Q] for i in range(len(w) - Q + 1))
+
+
+def forms_of(token: str) -> list[str]:
+    """What a token is compared as: itself, its consonants (the same in either script), its classes of short forms. An initial is compared as nothing."""
+    if len(token) < 2:
+        return []
+    bone = skeleton(token)
+    return [token, *([f"~{bone}"] if len(bone) > 1 else []), *sorted(f"#{k}" for k in nicknames(token))]
 
 
 def _contacts(emails: list | None, phones: list | None, links: list | None) -> list[str]:
@@ -76,77 +93,176 @@ def people(df: DataFrame) -> DataFrame:
 
 
 def token_stats(persons: DataFrame) -> DataFrame:
-    """Distinct tokens of more than one letter: their number of uses, whether they are family names (stand last at least as often as not), consonants and q-grams."""
-    cut = F.udf(lambda t: (grams(t), "~" + s if len(s := skeleton(t)) > 1 else None), "struct<g:array<string>,bone:string>")
+    """(token, n, family) of the distinct tokens of more than one letter: their uses, and whether they stand last at least as often as not."""
     places = persons.select(F.posexplode("tokens").alias("k", "token"), F.size("tokens").alias("of")).where("length(token) > 1")
     stats = places.groupBy("token").agg(F.count("*").alias("n"), F.count_if(F.col("k") == F.col("of") - 1).alias("last"))
-    return stats.select("token", "n", (F.col("last") * 2 >= F.col("n")).alias("family"), cut("token").alias("x")).select("token", "n", "family", "x.*")
+    return stats.select("token", "n", (F.col("last") * 2 >= F.col("n")).alias("family"))
+
 
+def gram_counts(stats: DataFrame) -> list[int]:
+    """How many forms of distinct tokens have each gram, by a place among GRAM_PLACES; the order of the prefix filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = [0] * GRAM_PLACES
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                for f in forms_of(t):
+                    for g in grams(f):
+                        n[crc32(g.encode()) % GRAM_PLACES] += 1
+        some = [(k, x) for k, x in enumerate(n) if x]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([x for _, x in some], pa.int64())], names=["k", "n"])
 
-def similar_tokens(tokens: DataFrame) -> DataFrame:
-    """(token, other) for distinct tokens (token, n, g) whose q-grams are at least TOKEN_SIMILARITY alike, other being the more frequent (then the lesser).
+    out = [0] * GRAM_PLACES
+    for r in stats.select("token").mapInArrow(run, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():  # at most GRAM_PLACES rows
+        out[r.k] = r.n
+    return out
 
-    Prefix filter: two sets that are so similar share one of the rarest grams of each, namely of its first size - ceil(t * size) + 1; only tokens sharing such a gram
-    (and of sizes that allow the similarity) are compared. Grams are ordered by their number of tokens, counted over all.
+
+def weighed(persons: DataFrame, stats: DataFrame, people_count: int) -> DataFrame:
+    """(id, tokens, w, fam): the weight of each token by its place (rare ones more, initials little) and the family name: the last token that stands last in most names."""
+    each = persons.select("id", F.posexplode("tokens").alias("k", "token")).join(stats, "token", "left")
+    w = F.when(F.col("n").isNull(), F.lit(0.3)).otherwise(F.log(F.lit(people_count + 1.0) / F.col("n")))
+    last = F.struct(F.coalesce("family", F.lit(False)).alias("family"), F.col("k"), F.col("token"))
+    own = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "token", w.alias("w")))).alias("t"), F.max(F.when(F.col("n").isNotNull(), last)).alias("f"), F.count("n").alias("spelled"))  # at most a name's tokens
+    fam = F.when(F.col("f.family") | (F.col("spelled") > 1), F.col("f.token"))
+    return own.select("id", F.col("t.token").alias("tokens"), F.col("t.w").alias("w"), fam.alias("fam"))
+
+
+def contact_uses(persons: DataFrame, names: DataFrame) -> DataFrame:
+    """(key, f, g): how many families stand on each contact, up to one more than SHARED_BY, and how many first letters of given names; tells a household and an agency from a person.
+
+    The distinct family names of a contact pass by once, the frequent ones first; a name that is a spelling of one seen before counts with it.
     """
-    each = tokens.where(F.length("token") >= 4).select("token", "n", F.size("g").alias("size"), F.explode("g").alias("gram"))
-    df_gram = each.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = each.join(df_gram, "gram").groupBy("token", "n", "size").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("o"))  # at most the grams of a token
-    keep = (F.col("size") - F.ceil(F.col("size") * TOKEN_SIMILARITY) + 1).cast("int")
-    ordered = F.transform("o", lambda x: x["gram"])
-    prefix = ranked.select("token", "n", "size", ordered.alias("g"), F.explode(F.slice(ordered, F.lit(1), keep)).alias("gram"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    length = lambda x: F.length(f"{x}.token")
-    most = F.when(F.least(length("a"), length("b")) < 6, 1).otherwise(2)
-    sized = (F.col("a.size") >= TOKEN_SIMILARITY * F.col("b.size")) & (F.col("b.size") >= TOKEN_SIMILARITY * F.col("a.size")) & (F.abs(length("a") - length("b")) <= most)
-    pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.struct(F.col("b.n"), F.col("a.token")) > F.struct(F.col("a.n"), F.col("b.token"))) & sized)
-    both = F.size(F.array_intersect("a.g", "b.g"))
-    edit = F.levenshtein("a.token", "b.token", 2)
-    alike_enough = (edit >= 0) & (edit <= most) & (both >= TOKEN_SIMILARITY * (F.col("a.size") + F.col("b.size") - both))
-    return pairs.where(alike_enough).select(F.col("a.token").alias("token"), F.col("b.token").alias("other")).distinct()
+    use = persons.select("id", F.explode("contacts").alias("key"), F.substring(F.element_at("tokens", 1), 1, 1).alias("g")).join(names.select("id", "fam"), "id")
+    each = use.groupBy("key", "fam").agg(F.count("*").alias("n"), F.collect_set("g").alias("g"))  # at most the letters
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+        out = []
+        for key, group in groupby(rows, key=lambda r: r[0]):
+            leaders, letters = [], set()
+            for _, fam, g in group:
+                letters.update(g)
+                if fam and len(leaders) <= SHARED_BY and not any(alike(fam, x) > 0.5 for x in leaders):
+                    leaders.append(fam)
+            out.append((key, len(leaders), len(letters)))
+            if len(out) == 10_000:
+                yield _batch(out, _USES)
+                out = []
+        yield _batch(out, _USES)
 
+    return each.repartition("key").sortWithinPartitions("key", F.desc("n"), "fam").select("key", "fam", "g").mapInArrow(run, "key string, f int, g int")
 
-def _year(m: Column) -> Column:
-    return F.floor(m / 12).cast("int")
 
+_USES = pa.schema([("key", pa.string()), ("f", pa.int32()), ("g", pa.int32())])
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-def family_forms(stats: DataFrame, near: DataFrame) -> DataFrame:
-    """(token, family, form): one form for the spellings of a family name, namely the consonants of the most frequent token that is like it, or that token itself where they are few."""
-    best = near.join(stats.select(F.col("token").alias("other"), "n"), "other").groupBy("token").agg(F.max_by("other", F.struct("n", "other")).alias("other"))
-    whole = stats.select("token").join(best, "token", "left").select("token", F.coalesce("other", "token").alias("whole"))
-    return whole.join(stats.select(F.col("token").alias("whole"), "family", "bone"), "whole").select("token", "family", F.when(F.length("bone") > 3, F.col("bone")).otherwise(F.col("whole")).alias("form"))
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
-def contact_uses(persons: DataFrame, forms: DataFrame) -> DataFrame:
-    """(key, f, g): how many family names and first letters of given names stand on each contact; tells a household and an agency from a person.
 
-    Spellings of a family name count once; it is the last token that stands last in most names, so that reordered names don't add others.
-    """
-    family = persons.select("id", F.posexplode("tokens").alias("k", "token")).join(forms, "token").groupBy("id").agg(F.max_by("form", F.struct("family", "k")).alias("f"))
-    use = persons.select("id", F.explode("contacts").alias("key"), F.substring(F.element_at("tokens", 1), 1, 1).alias("g")).join(family, "id", "left")
-    return use.groupBy("key").agg(F.approx_count_distinct("f", 0.02).alias("f"), F.approx_count_distinct("g", 0.02).alias("g"))
+def _year(m: Column) -> Column:
+    return F.floor(m / 12).cast("int")
 
 
-def candidates(persons: DataFrame, stats: DataFrame, near: DataFrame, uses: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, that share a contact, or a dated role and a family-name token or two similar ones.
+def evidence(persons: DataFrame, uses: DataFrame) -> DataFrame:
+    """(id, h): what a profile can share with another of the same person, hashed: a contact that no crowd has, a role at an employer by its years, a role by its months.
 
-    Roles are hashed together with the token, so that an employer that many share isn't a group by itself; so are contacts on which many family names stand, which
-    are no evidence.
+    A contact that a crowd has is none by itself; it counts together with a piece of a career, for which a role without an end and a school are enough.
     """
-    spelled = stats.select("token", "family", F.explode(F.array("token", "bone")).alias("as")).where("as is not null")
-    near = near.join(stats.select("token", "family"), "token").select("token", "family", F.col("other").alias("as"))
-    forms = spelled.unionByName(near)
-    named = persons.select("id", F.explode(F.array_distinct("tokens")).alias("token")).join(forms, "token").select("id", "family", "as")
-    families = named.groupBy("id").agg(F.collect_set(F.when(F.col("family"), F.col("as"))).alias("f"), F.collect_set("as").alias("all"))  # at most a name's forms
-    families = families.select("id", F.explode(F.when(F.size("f") > 0, F.col("f")).otherwise(F.col("all"))).alias("as"))
-    contacts = persons.select("id", F.explode("contacts").alias("key")).join(uses.select("key", (F.col("f") > SHARED_BY + 4).alias("many")), "key")
+    known = persons.select("id", F.explode("contacts").alias("key")).join(uses.select("key", (F.col("f") > SHARED_BY).alias("crowd")), "key")
     r = F.col("r")
     at = F.when((r["org"] != "") & r["e"].isNotNull(), F.concat_ws("|", F.lit("o"), r["org"], _year(r["s"]), _year(r["e"])))
     exact = F.when(r["sm"] & r["em"], F.concat_ws("|", F.lit("d"), r["s"], r["e"]))
-    roles = persons.select("id", F.explode("roles").alias("r")).select("id", F.explode(F.array_compact(F.array(at, exact))).alias("key")).distinct()
-    named_keys = roles.unionByName(contacts.where("many").select("id", "key")).join(families, "id").select(F.xxhash64("key", "as").alias("h"), "id")
-    keyed = named_keys.unionByName(contacts.where("not many").select(F.xxhash64("key").alias("h"), "id"))
-    return keyed.alias("x").join(keyed.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    since = F.when(r["org"] != "", F.concat_ws("|", F.lit("s"), r["org"], _year(r["s"])))
+    each = persons.select("id", F.explode("roles").alias("r"))
+    roles = each.select("id", F.explode(F.array_compact(F.array(at, exact))).alias("key"))
+    pieces = each.select("id", F.explode(F.array_compact(F.array(exact, since))).alias("piece")).unionByName(persons.select("id", F.explode("edu").alias("piece")))
+    beside = known.where("crowd").join(pieces, "id").select("id", F.xxhash64("key", "piece").alias("h"))
+    return known.where("not crowd").select("id", "key").unionByName(roles).select("id", F.xxhash64("key").alias("h")).unionByName(beside).distinct()
+
+
+class NameJoin:
+    """The set-similarity join of names on token q-grams: an index of the rarest grams of all tokens, asked with those of each name's heaviest tokens."""
+
+    def __init__(self, counts: Sequence[int]) -> None:
+        self.counts = counts
+        self._of = lru_cache(200_000)(lambda token: [self._prefix(f) for f in forms_of(token)])
+
+    def _prefix(self, form: str) -> tuple[frozenset[str], tuple[str, ...]]:
+        """Grams of a form, and of them the rarest size - ceil(t * size) + 1: two forms that are so similar share one of those."""
+        g = grams(form)
+        o = sorted(g, key=lambda x: (self.counts[crc32(x.encode()) % GRAM_PLACES], x))
+        return g, tuple(o[: len(g) - math.ceil(TOKEN_SIMILARITY * len(g)) + 1])
+
+    def pairs(self, names: list[tuple[tuple[str, ...], tuple[float, ...]]]) -> Iterator[tuple[int, int]]:
+        """(i, j), i < j, of the distinct names (tokens, weights) with a token in common or alike and a soft similarity of NAME_FLOOR or more.
+
+        The matched weight of the shorter name has to be NAME_FLOOR of its whole, so one of its heaviest tokens, of which the others are less than that, is matched: these ask.
+        """
+        index: dict[str, list[tuple[int, frozenset[str]]]] = {}
+        own = []
+        for i, (tokens, _) in enumerate(names):
+            forms = [self._of(t) for t in tokens]
+            own.append(forms)
+            for g, first in (x for fs in forms for x in fs):
+                for p in first:
+                    index.setdefault(p, []).append((i, g))
+        seen = set()
+        for i, (tokens, weights) in enumerate(names):
+            heavy = sorted(range(len(tokens)), key=lambda k: -weights[k])
+            rest, least = sum(weights), NAME_FLOOR * sum(weights)
+            for k in heavy:
+                if rest < least:
+                    break
+                rest -= weights[k]
+                for g, first in own[i][k]:
+                    for p in first:
+                        for j, other in index[p]:
+                            if j == i or (pair := (i, j) if i < j else (j, i)) in seen:
+                                continue
+                            both = len(g & other)
+                            if both >= TOKEN_SIMILARITY * (len(g) + len(other) - both):
+                                seen.add(pair)
+                                w = dict(zip(tokens, weights, strict=True)) | dict(zip(*names[j], strict=True))
+                                if similarity(list(tokens), list(names[j][0]), w.__getitem__) >= NAME_FLOOR:
+                                    yield pair
+
+
+def candidates(names: DataFrame, keys: DataFrame, counts: Sequence[int]) -> DataFrame:
+    """Distinct (a, b), a < b, of profiles that share evidence and whose names the join on q-grams finds alike; names (id, tokens, w), keys (id, h).
+
+    What a piece of evidence brings together passes through one task, or, where more than BLOCK profiles have it, in pairs of blocks through as many tasks as it takes. Equal names
+    are compared once, and their profiles paired without a comparison.
+    """
+    crowd = keys.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("h", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = keys.join(small(crowd), "h", "left").withColumn("mine", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("id", "h"), F.col("blocks"))).otherwise(0).cast("int"))
+    cell = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda k: F.struct(F.least("mine", k).alias("lo"), F.greatest("mine", k).alias("hi")))
+    spread = placed.select("id", "h", "mine", F.inline(cell)).join(names, "id").select("h", "lo", "hi", "mine", "id", "tokens", "w")
+    shared = names.sparkSession.sparkContext.broadcast(counts)  # GRAM_PLACES numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        join, out = NameJoin(shared.value), []
+        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True))
+        for (_, lo, hi), group in groupby(rows, key=lambda r: r[:3]):
+            by_name: dict[tuple, list[tuple[int, int]]] = {}
+            for *_, mine, i, tokens, w in group:
+                by_name.setdefault((tuple(tokens), tuple(w)), []).append((i, mine))
+            if len(by_name) == 1 and len(next(iter(by_name.values()))) == 1:
+                continue
+            held = list(by_name.values())
+            met = ((x, y) for ids in held for k, x in enumerate(ids) for y in ids[:k])
+            alike_names = ((x, y) for i, j in join.pairs(list(by_name)) for x in held[i] for y in held[j])
+            for (a, ma), (b, mb) in (p for ps in (met, alike_names) for p in ps):
+                if lo == hi or ma != mb:
+                    out.append((a, b) if a < b else (b, a))
+                    if len(out) == 20_000:
+                        yield _batch(out, _PAIRS)
+                        out = []
+        yield _batch(out, _PAIRS)
+
+    return spread.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi", "id").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _months_agree(x: int | None, xm: bool, y: int | None, ym: bool) -> int:
@@ -158,8 +274,8 @@ def _months_agree(x: int | None, xm: bool, y: int | None, ym: bool) -> int:
     return 1 if x // 12 == y // 12 else -1
 
 
-def career(ra: list, rb: list, ea: list, eb: list) -> tuple[float, float]:
-    """(agreement, conflict): roles and schools that two careers share, and dated roles at one employer that can't be the same."""
+def career(ra: list, rb: list, ea: list, eb: list) -> float:
+    """Agreement of two careers: the roles and schools that they share."""
     agree, used = 0.0, set()
     for x in ra:
         best, at = 0.0, None
@@ -181,7 +297,7 @@ def career(ra: list, rb: list, ea: list, eb: list) -> tuple[float, float]:
     years = lambda es: {x.rpartition("|")[2] for x in es} - {""}
     if not shared and years(ea) & years(eb):
         agree += 0.2 * len(years(ea) & years(eb))
-    return agree, 0.0
+    return agree
 
 
 def given_conflict(a: list[str], b: list[str]) -> bool:
@@ -206,13 +322,13 @@ def same_person(a: dict, b: dict, weight, personal: int, crowded: int, mailed: b
     s = similarity(ta, tb, weight)
     if min(len(ta), len(tb)) < 2 and ta != tb:
         s = min(s, 0.79) if not max(alike(t, u) for t in ta for u in tb) >= 0.9 else s
-    agree, _ = career(a["roles"] or [], b["roles"] or [], a["edu"] or [], b["edu"] or [])
+    agree = career(a["roles"] or [], b["roles"] or [], a["edu"] or [], b["edu"] or [])
     family = max((alike(t, u) for t in ta for u in tb if len(t) > 2 and len(u) > 2), default=0)
     if s < NAME_SIMILARITY:
         # A short form that no list has: the family name, a personal contact and the career together leave no other reading; nor do a name in common and a personal address.
-        if mailed and personal and s > 0.4 and family >= 0.95:
+        if mailed and personal and s > NAME_FLOOR and family >= 0.95:
             return True
-        return s > 0.4 and (family >= 0.7 and personal + crowded > 0 and agree >= 0.9 or family >= 0.9 and agree >= 1.8)
+        return s > NAME_FLOOR and (family >= 0.7 and personal + crowded > 0 and agree >= 0.9 or family >= 0.9 and agree >= 1.8)
     full = [t for t in (ta if len(ta) <= len(tb) else tb) if len(t) > 1]
     sure = len(full) >= 2  # a given name is spelled out on both sides
     if given_conflict(ta, tb):
@@ -233,17 +349,14 @@ def linked(persons: DataFrame) -> DataFrame:
     before: see ``p2_found``. Ties don't matter, as each pair is judged by itself; an empty table gives an empty result.
     """
     persons = stored(persons)
-    stats = stored(token_stats(persons))
-    near = stored(similar_tokens(stats))
-    uses = stored(contact_uses(persons, family_forms(stats, near)))
-    pairs = stored(candidates(persons, stats, near, uses))
-    n = persons.count()
+    stats = token_stats(persons)
+    names = stored(weighed(persons, stats, persons.count()))
+    uses = stored(contact_uses(persons, names))
+    pairs = stored(candidates(names.drop("fam"), evidence(persons, uses), gram_counts(stats)))
     both_ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    met = persons.join(both_ids, "id", "left_semi")  # the rest has no pair to be judged in
-    of_token = stats.select(F.col("token").alias("t"), F.log(F.lit(n + 1.0) / F.col("n")).alias("w"))
-    weights = met.select("id", F.explode(F.array_distinct("tokens")).alias("t")).join(of_token, "t").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("t", "w"))).alias("w"))  # at most a name's tokens
+    met = persons.drop("tokens").join(both_ids, "id", "left_semi").join(names.select("id", "tokens", F.map_from_arrays(F.array_distinct("tokens"), F.transform(F.array_distinct("tokens"), lambda t: F.get("w", F.array_position("tokens", t).cast("int") - 1))).alias("w")), "id")
     marked = met.select("id", F.explode("contacts").alias("key")).join(uses, "key").groupBy("id").agg(F.collect_list(F.struct("key", "f", "g")).alias("uses"))  # at most a profile's contacts
-    side = met.join(weights, "id", "left").join(marked, "id", "left")
+    side = met.join(marked, "id", "left")
     row = F.struct("id", "tokens", "roles", "edu", "w", "uses")
     both = pairs.join(side.select(F.col("id").alias("a"), row.alias("x")), "a").join(side.select(F.col("id").alias("b"), row.alias("y")), "b").select("x", "y")
 
@@ -254,8 +367,8 @@ def linked(persons: DataFrame) -> DataFrame:
                 w = dict(x["w"] or ()) | dict(y["w"] or ())
                 ux, uy = {u["key"]: u for u in x["uses"] or []}, {u["key"]: u for u in y["uses"] or []}
                 shared = [ux[k] for k in ux.keys() & uy.keys()]
-                personal = sum(1 for u in shared if u["f"] <= 4 and u["g"] <= 2)
-                crowded = sum(1 for u in shared if u["f"] <= 4 and u["g"] > 2)
+                personal = sum(1 for u in shared if u["f"] <= SHARED_BY and u["g"] <= 2)
+                crowded = sum(1 for u in shared if u["f"] <= SHARED_BY and u["g"] > 2)
                 if same_person(x, y, lambda t, w=w: w.get(t, 5.0), personal, crowded, any(u["key"][0] == "e" for u in shared)):
                     found.append((x["id"], y["id"]))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], []))], names=["profile_a", "profile_b"])
