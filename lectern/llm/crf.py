@@ -40,6 +40,37 @@ def token_features(w: str, known: Callable[[str], bool]) -> list[str]:
     return out
 
 
+# Words before a name, and words within one.
+_TITLES = frozenset("mx mr mrs ms miss dr prof dipl ing herr frau sr sra mme mlle".split())
+_WITHIN = frozenset("al el bin ibn bint ben abu von van de der den da do dos das del la le du di y e".split())
+#: Rough kinds of tokens; of each place, the kinds of it and its two neighbours together are one more feature.
+GROUPS = 18
+
+
+def rough_kind(w: str, known: Callable[[str], bool]) -> int:
+    """The rough kind of a token: a break, a sign, an initial, a title, a small word of names, by script, case and whether it is known, digits, an address."""
+    low = w.lower()
+    if w == "\n":
+        return 1
+    if not any(c.isalnum() for c in w):
+        return 2 if w == "," else 3 if w == "." else 4 if w in "()[]" else 5
+    if "@" in w:
+        return 6
+    if any(c.isdigit() for c in w):
+        return 7 if w.isdigit() else 8
+    if low in _TITLES:
+        return 9
+    if low in _WITHIN:
+        return 10
+    if len(w) == 1:
+        return 11
+    if w[0].islower():
+        return 12 if known(low) else 13
+    if w[0].isupper():
+        return 14 if known(low) else 15
+    return 16 if known(low) else 17
+
+
 class Crf:
     """Labels, feature ids and weights. A sequence is a list of tokens; emissions are sums over the features of the tokens around each place."""
 
@@ -48,6 +79,7 @@ class Crf:
         self.ids: dict[str, int] = {}
         self.weights = np.zeros((0, len(OFFSETS), len(labels)), np.float32)
         n = len(labels)
+        self.around = np.zeros((GROUPS**3, n), np.float32)
         self.moves, self.start = np.zeros((n, n), np.float32), np.zeros(n, np.float32)
         # An inside label follows only its own kind.
         self.allowed = np.array([[0.0 if not b.startswith("I-") or a[2:] == b[2:] and a != "O" else -1e4 for b in labels] for a in labels], np.float32)
@@ -62,7 +94,12 @@ class Crf:
             return [self.ids.setdefault(f, len(self.ids)) for f in names]
         return [i for f in names if (i := self.ids.get(f)) is not None]
 
-    def fit(self, rows: list[tuple[list[str], list[int]]], epochs: int = 6, batch: int = 48, rate: float = 0.15, decay: float = 1e-5, seed: int = 0) -> Crf:
+    def _around(self, g: np.ndarray) -> np.ndarray:
+        """Places in ``around`` of each place's own group and those beside it; -1, the padding, is group 0."""
+        g = np.pad(np.maximum(g, 0), ((0, 0), (1, 1)))
+        return (g[:, :-2] * GROUPS + g[:, 1:-1]) * GROUPS + g[:, 2:]
+
+    def fit(self, rows: list[tuple[list[str], list[int]]], epochs: int = 5, batch: int = 64, rate: float = 0.15, decay: float = 1e-5, seed: int = 0) -> Crf:
         """Maximise the likelihood of the labels by Adagrad; deterministic for a seed."""
         rng = np.random.default_rng(seed)
         tokens: dict[str, int] = {}
@@ -72,6 +109,8 @@ class Crf:
         first = np.concatenate([[0], np.cumsum([len(f) for f in feats])])
         n, k = len(self.labels), len(OFFSETS)
         self.weights = np.zeros((len(self.ids), k, n), np.float32)
+        groups_of = np.array([*(rough_kind(w, self.vocabulary.__contains__) for w in tokens), 0])  # the last is the padding
+        past_a = np.full_like(self.around, 1e-6)
         past_w, past_m, past_s = np.full_like(self.weights, 1e-6), np.full_like(self.moves, 1e-6), np.full_like(self.start, 1e-6)
         order = np.argsort([len(x) for x, _ in data], kind="stable")
         groups = [order[i : i + batch] for i in range(0, len(order), batch)]
@@ -90,7 +129,8 @@ class Crf:
                 rows_ = np.repeat(np.arange(len(used)), sizes)
                 cols = of_feature[np.repeat(first[np.maximum(used, 0)] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(rows_))]
                 table = _sums(self.weights[cols], rows_, len(used))
-                e = _emissions(table, inverse)
+                places = self._around(groups_of[x])
+                e = _emissions(table, inverse) + self.around[places]
                 mask = np.arange(t) < length[:, None]
                 p, pair, p0 = self._expect(e, mask)
                 gold = np.zeros_like(p)
@@ -117,15 +157,20 @@ class Crf:
                 gw -= decay * len(chosen) * self.weights[distinct]
                 past_w[distinct] += gw * gw
                 self.weights[distinct] += rate * gw / np.sqrt(past_w[distinct])
+                by_place = np.argsort(places.ravel(), kind="stable")
+                met, to = np.unique(places.ravel()[by_place], return_inverse=True)
+                ga = _sums(diff.reshape(-1, n)[by_place], to, len(met)) - decay * len(chosen) * self.around[met]
+                past_a[met] += ga * ga
+                self.around[met] += rate * ga / np.sqrt(past_a[met])
                 past_m += gm * gm
                 past_s += gs * gs
                 self.moves += rate * gm / np.sqrt(past_m)
                 self.start += rate * gs / np.sqrt(past_s)
             if epoch >= epochs // 2:  # the mean over the later epochs varies less than the last
-                now = [self.weights, self.moves, self.start]
+                now = [self.weights, self.moves, self.start, self.around]
                 mean = [x.astype(np.float64) for x in now] if mean is None else [m + x for m, x in zip(mean, now, strict=True)]
         if mean is not None:
-            self.weights, self.moves, self.start = ((m / (epochs - epochs // 2)).astype(np.float32) for m in mean)
+            self.weights, self.moves, self.start, self.around = ((m / (epochs - epochs // 2)).astype(np.float32) for m in mean)
         return self
 
     def _expect(self, e: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,7 +221,8 @@ class Crf:
             for r, i in enumerate(group):
                 x[r, : len(sequences[i])] = [ids.setdefault(w, len(ids)) for w in sequences[i]]
             table = np.concatenate([np.stack([vector(w) for w in ids]), np.zeros((1, len(OFFSETS), len(self.labels)), np.float32)])
-            e = _emissions(table, x)  # -1 is the closing row of zeros
+            groups_of = np.array([*(rough_kind(w, self.vocabulary.__contains__) for w in ids), 0])
+            e = _emissions(table, x) + self.around[self._around(groups_of[x])]  # -1 is the closing row of zeros
             score = self.start + self.first + e[:, 0]
             back = np.zeros((len(group), t, len(self.labels)), np.int8)
             length = np.array([len(sequences[i]) for i in group])

@@ -6,7 +6,6 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,21 +13,19 @@ from pyspark.sql import functions as F
 
 from lectern.llm.chars import aligned, canonical
 from lectern.llm.crf import Crf
-from lectern.llm.pii_table import ARABIC_GIVEN, ID_WORDS, KINDS, LABELS, LINES, TOKEN, Writer
+from lectern.llm.pii_table import ARABIC_GIVEN, GIVEN, ID_WORDS, KINDS, LABELS, TOKEN, Writer
 from lectern.sources.tables import latest
 
-#: Pages whose lines without items stand around the marked ones in training, at most, and marked pages written.
-SAMPLE_PAGES, TRAIN_PAGES = 1_500, 9_000
+#: Pages whose lines without items stand around the marked ones in training, at most, and marked snippets of pages written.
+SAMPLE_PAGES, TRAIN_PAGES = 1_500, 8_000
 _DIGITS = re.compile(r"\d")
 _ITEM = re.compile(
     r"@(?!nightly)|\(at\)|\[at\]|mailto|\+\s?\d|\(\d{3}\)|\d{3}[-/. ]\d{3}|\d{2}\.\d{2}\.\d{2}\.\d{2}|\b0\d{9,}|P\.\s?O\.|Postfach|ص\.ب|\bApt\b|\bFlat\b|\b(?:Road|Street|Lane|Ave|Court|Row)\b|str\. \d|weg \d|gasse \d|"
     r"\b(?:rue|impasse|avenue|bd\.|Calle|C/|Avda|Plaza|Travessa|Rua|Av\.|Largo)\b|شارع|طريق|زقاق|\b(?:Mx|Dr|Prof|Dipl)\b\.?|"
     + "|".join(re.escape(w.rstrip(":")) for w in ID_WORDS)
-    + r"|\bCV\b|Vitae|"
-    + "|".join(re.escape(s.strip(" .")) for t in LINES for s in re.split(r"\{\w+\}", t) if len(s.split()) > 1 and len(s.strip(" .")) > 7)
-    + "|"
-    + "|".join(ARABIC_GIVEN)
+    + r"|\bCV\b|Vitae"
 )
+_GIVEN = frozenset((*GIVEN, *ARABIC_GIVEN))
 _PROJECT = re.compile(r"(?:project|projekt|projet|proyecto|projeto|مشروع)\s+[^\W\d_]+(?:-\w|\s+(?:II|North|Plus|\d))?", re.I)
 _TITLE = re.compile(r"^(?P<job>[^,\d]{3,40}), (?P<org>[^,(]{3,40}) \(.*\d{4}.*")
 
@@ -38,8 +35,9 @@ def plain_lines(texts: list[str]) -> tuple[list[str], list[str], list[str], froz
     for project names, all its words occur on several pages; a job and an organisation come from dated lines and are taken only if they occur several times.
     """
     pages = [canonical(t).split("\n") for t in texts]
-    seen, small = Counter(), Counter()
+    seen, small, top = Counter(), Counter(), Counter()
     for p in pages:
+        top.update({w.lower() for line in [x for x in p if x.strip()][:3] for w in TOKEN.findall(line) if w.isalpha()})
         ws = {w for line in p for w in TOKEN.findall(line) if w.isalpha()}
         seen.update(w.lower() for w in ws)
         small.update(w for w in ws if w[0].islower() or not (w[0].isupper() or w[0].islower()))
@@ -60,18 +58,21 @@ def plain_lines(texts: list[str]) -> tuple[list[str], list[str], list[str], froz
         edge = {*filled[:3], *filled[-2:]}  # where names and headers stand
         for k, line in enumerate(p):
             bare = line.strip()
-            if not bare or _ITEM.search(bare):
+            if not bare or _ITEM.search(bare) or not _GIVEN.isdisjoint(TOKEN.findall(bare)):
                 continue
             parts = re.split(r", | - ", bare)
             if len(parts) > 1 and parts[1] in orgs and parts[0] not in jobs or k in edge and bare not in jobs and not bare.endswith(".") and whole[_DIGITS.sub("9", bare)] < 8:
                 continue
             known = whole[_DIGITS.sub("9", bare)] >= 4 or all(
-                seen[w.lower()] >= 4 and (w[:1].islower() or small[w.lower()] >= 2 or w.lower() in often or seen[w.lower()] >= 12) for w in TOKEN.findall(_PROJECT.sub("", bare)) if w.isalpha()
+                seen[w.lower()] >= 4 and (w[:1].islower() or small[w.lower()] >= 2 or w.lower() in often or seen[w.lower()] >= max(12, 4 * top[w.lower()])) for w in TOKEN.findall(_PROJECT.sub("", bare)) if w.isalpha()
             )
             if known and len(re.findall(r"[^\W\d_]", bare)) > 2:
                 lines.append(bare)
     vocabulary = Counter(w for line in lines for w in set(TOKEN.findall(_PROJECT.sub(" ", line).lower())))
-    return jobs, organisations, lines, frozenset(w for w, n in vocabulary.items() if n >= 2) | frozenset(w for x in ID_WORDS for w in TOKEN.findall(x.lower()))
+    names = {w.lower() for w in _GIVEN}
+    lower = {w for w, n in small.items() if n >= 3 and w not in names and 4 * top[w] <= seen[w]}  # small words anywhere, also beside items
+    lower |= {w for w, n in seen.items() if n * 30 >= len(pages) and w not in names}  # titles of the documents
+    return jobs, organisations, lines, frozenset(w for w, n in vocabulary.items() if n >= 2) | lower | frozenset(w for x in ID_WORDS for w in TOKEN.findall(x.lower()))
 
 
 def fit(pages: DataFrame, text_col: str, id_col: str, sample_pages: int = SAMPLE_PAGES, train_pages: int = TRAIN_PAGES, seed: int = 7) -> Crf:
@@ -87,19 +88,14 @@ def fit(pages: DataFrame, text_col: str, id_col: str, sample_pages: int = SAMPLE
     return train(texts, train_pages, seed)
 
 
-@lru_cache(4)
-def _trained(texts: tuple[str, ...], train_pages: int, seed: int) -> Crf:
-    jobs, organisations, lines, vocabulary = plain_lines(list(texts))
-    random.Random(seed).shuffle(lines)
-    w = Writer(seed, jobs, organisations, lines)
+def train(texts: list[str], train_pages: int = TRAIN_PAGES, seed: int = 7, lines: list[str] | None = None) -> Crf:
+    """The model for a sample of texts; lines: other sentences with items than those of the table."""
+    jobs, organisations, plain, vocabulary = plain_lines(sorted(texts))
+    random.Random(seed).shuffle(plain)
+    w = Writer(seed, jobs, organisations, plain, lines)
     return Crf(LABELS, vocabulary).fit([w.page() for _ in range(train_pages)], seed=seed)
 
 
-def train(texts: list[str], train_pages: int = TRAIN_PAGES, seed: int = 7) -> Crf:
-    """The model for a sample of texts; kept for the next call with the same sample."""
-    return _trained(tuple(sorted(texts)), train_pages, seed)
-
-
 _AT = re.compile(r"@|\bat\b", re.I)
 
 

@@ -25,12 +25,12 @@ GIVEN = (
 ARABIC_GIVEN = "محمد أحمد فاطمة عائشة خالد ليلى يوسف مريم عبدالله سارة حسن زينب إبراهيم نورة طارق هدى سعيد أسماء مصطفى جمال علي عمر هند رنا سامي كريم حسين شهد وليد منى".split()
 FRONT = "Hart Berg Lind Stein Wald Mor Kel Bran Tor Val Fen Gar Dun Strö Pen Quin Ras Sul Or Has Nag Mül Bröt Zol Vel Ash Cald Jor Köh Lé Nañ Ara Vir Bou Kes Wex Ulv Hjor Dra Gries Dorn Pé Ñan Sør El Tres".split()
 BACK = "mann er son ley ton wick stad quist elho ino ez berg moor acre ander erly ette ough ivar hausen aux ik otto enza aldo ellan owe orez ein ini as ard".split()
-ARABIC_STEM = "بحر رمل نخل جبل صخر وادي مرج كرم شمس نجم فجر غيم حجر سدر قمر ندى رعد برق طيب حرب سلم دوس خزر عتب زهر هلل".split()
+ARABIC_STEM = "بحر رمل نخل جبل صخر وادي مرج كرم شمس نجم فجر غيم حجر سدر قمر ندى رعد برق طيب حرب سلم دوس خزر عتب زهر هلل ورود زهور نخيل بساتين مدارس".split()
 _TITLES = ["Dr. ", "Prof. ", "Mx ", "Dipl.-Ing. ", "Mr. ", "Ms ", "Frau ", "Herr ", "Dr ", "Sra. ", "Mme "]
 
 # How numbers of persons are named.
 ID_WORDS = [
-    "SSN", "SSN:", "National ID", "National ID:", "Passport no.", "passport number", "Passport no.:", "holder of identity number", "identity card", "residence permit", "tax ID", "Tax no.", "National insurance no.", "ID card no.",
+    "SSN", "SSN:", "National ID", "National ID:", "Passport no.", "passport number", "Passport no.:", "holder of identity number", "identity card", "ID card", "residence permit", "tax ID", "Tax no.", "National insurance no.", "ID card no.",
     "Steuer-ID:", "Steuer-ID", "Ausweisnummer", "Ausweisnummer:", "Reisepass Nr.", "Sozialversicherungsnr.", "Personalausweis", "Steuernummer",
     "N° de sécurité sociale", "N° de sécurité sociale:", "Passeport n°", "carte d'identité", "carte d'identité n°", "titre de séjour", "numéro fiscal",
     "DNI", "DNI:", "NIE", "NIE:", "NIF", "NIF:", "Pasaporte n.º", "Número de seguridad social", "Passaporte n.º", "Cartão de cidadão", "Cartão de cidadão:", "CPF", "NISS",
@@ -58,27 +58,26 @@ _CITIES = "Harbury Altdorf Montval Ribera Portela Kestrel Newford Sandhaven Brü
 _REGIONS = ["{c} AB{d} {d}QT", "{z} {c}", "{c} {z}", "D-{z} {c}", "{c}", "{c}", "- {c}", "- {c}", "{zz} {c}"]
 _ARABIC_REGION = ["حي {R}، مدينة {R}", "مدينة {R}", "حي {R}"]
 
-# Sentences and lines with one item; {name}, {email}, {phone}, {id}, {addr} are slots.
+# Sentences and lines with items, in the words of the writer of this table; {name}, {email}, {phone}, {id}, {addr} are slots.
 LINES = [
-    "Last assessed by {name}.", "When {name} left, the whole desk came to me.", "{name} and I wrote the first manual.", "Reported to {name} for two years.", "Shared the night shift with {name} and covered holidays.", "With {name} I wrote the first manual.", "I trained {name} on the job.",
-    "Zuletzt beurteilt von {name}.", "Teilte die Nachtschicht mit {name} und übernahm Vertretungen.", "{name} und ich schrieben das erste Handbuch.", "Nach dem Weggang von {name} lag alles bei mir.", "Berichtete zwei Jahre an {name}.", "Zwei Jahre lang berichtete ich an {name}.",
-    "Dernière évaluation par {name}.", "Au départ de {name}, tout le bureau m'a été confié.", "{name} et moi avons rédigé le premier manuel.", "Équipe de nuit partagée avec {name} et remplacements.", "Sous la direction de {name} pendant deux ans.", "Rattaché à {name} pendant deux ans.", "Reportava a {name} durante dois anos.",
-    "Última evaluación de {name}.", "Cuando se marchó {name}, asumió toda la mesa.", "{name} y yo escribimos el primer manual.", "Compartió el turno de noche con {name} y cubrió vacaciones.", "Informaba a {name} durante dos años.",
-    "Última avaliação de {name}.", "Quando {name} saiu, ficou com toda a mesa.", "{name} e eu escrevemos o primeiro manual.", "Partilhou o turno da noite com {name} e cobriu férias.", "Respondia a {name} durante dois anos.",
-    "آخر تقييم أجراه {name}.", "بعد رحيل {name} انتقل المكتب كله إليه.", "كتب مع {name} الدليل الأول.", "كان يرفع التقارير إلى {name} لمدة عامين.", "شارك {name} المناوبة الليلية وغطى الإجازات.",
-    "Please write to {email}.", "I can be reached at {email}.", "Erreichbar unter {email}.", "Pueden escribir a {email}.", "On peut m'écrire à {email}.", "Bitte schreiben Sie an {email}.", "Merci d'écrire à {email}.", "Escriba por favor a {email}.", "Por favor escreva para {email}.", "يرجى المراسلة على {email}.",
+    "My line manager was {name}, who signed every roster.", "{name} hired me straight from school.", "Took over the ledger when {name} retired.", "Ask {name} about the warehouse move.", "For details call {name}.", "Paired with {name} on the rollout.", "Thanks to {name} the audit went smoothly.", "Supervisor: {name}", "Contact person: {name}", "Mentored by {name}, then by {name}.", "Signed, {name}", "Team of {name} and {name}.",
+    "Mein Vorgesetzter war {name}.", "{name} stellte mich nach der Lehre ein.", "Vertretung für {name} im Sommer.", "Auskunft gibt {name}.", "Gemeinsam mit {name} entstand der Plan.", "Ansprechpartner: {name}", "Gezeichnet {name}", "Dank {name} gelang die Umstellung.", "Eingearbeitet durch {name}, danach durch {name}.", "Unterstützte {name} bei der Abrechnung.",
+    "Mon chef direct était {name}.", "{name} m'a recruté après le stage.", "Remplacement de {name} en été.", "Renseignements auprès de {name}.", "Projet mené avec {name} à distance.", "Personne à contacter : {name}", "Formé par {name} puis par {name}.", "Grâce à {name}, la migration a réussi.", "Signé {name}",
+    "Mi jefe directo era {name}.", "{name} me contrató tras las prácticas.", "Sustitución de {name} en verano.", "Más datos con {name}.", "Trabajé junto a {name} en la campaña.", "Persona de contacto: {name}", "Formado por {name} y luego por {name}.", "Gracias a {name} salió bien la auditoría.", "Firmado: {name}",
+    "O meu chefe direto era {name}.", "{name} contratou-me depois do estágio.", "Substituição de {name} no verão.", "Mais dados com {name}.", "Trabalhei ao lado de {name} na campanha.", "Pessoa de contacto: {name}", "Formado por {name} e depois por {name}.", "Graças a {name} a auditoria correu bem.", "Assinado: {name}",
+    "مديري المباشر كان {name}.", "عينني {name} بعد التدريب.", "ناب عن {name} في الصيف.", "للمعلومات اسأل {name}.", "عمل إلى جانب {name} في الحملة.", "الشخص المسؤول: {name}", "بفضل {name} نجح التدقيق.", "التوقيع {name}", "تدرب لدى {name} ثم لدى {name}.",
+    "Send offers to {email}, please.", "My inbox is {email} on weekdays.", "Angebote an {email} senden.", "Mein Postfach ist {email}.", "Envoyez vos offres à {email}.", "Ma boîte est {email}.", "Mande ofertas a {email}.", "Mi buzón es {email}.", "Envie ofertas para {email}.", "A minha caixa é {email}.", "أرسل العروض إلى {email} من فضلك.", "صندوقي هو {email}.",
+    "Ring {phone} before noon.", "Voicemail is on {phone} at weekends.", "Vormittags unter {phone} anrufen.", "Anrufbeantworter: {phone}", "Appeler le {phone} avant midi.", "Répondeur au {phone} le week-end.", "Llame al {phone} antes de mediodía.", "Contestador en el {phone}.", "Ligue para {phone} antes do meio-dia.", "Atendedor no {phone}.", "اتصل على {phone} قبل الظهر.", "المجيب الآلي {phone}.",
+    "My flat is at {addr}.", "Home: {addr}", "Since spring I live at {addr}.", "Parcels reach me at {addr}, ground floor.", "Meine Wohnung liegt {addr}.", "Wohnhaft: {addr}", "Pakete bitte an {addr} liefern.", "J'habite {addr}.", "Domicile : {addr}", "Colis à livrer au {addr}.", "Vivo en {addr}.", "Domicilio: {addr}", "Paquetes a {addr}, planta baja.",
+    "Moro na {addr}.", "Morada: {addr}", "Encomendas para {addr}, rés do chão.", "أسكن في {addr}.", "السكن: {addr}", "الطرود إلى {addr} من فضلك.", "Write or call: {email}, {phone}", "Reach {name} on {phone} or {email}.", "{name} ({phone}) keeps the keys.", "{name}, {addr}",
 ]
-for _t in ("The old office ({x}) still forwards messages.", "Between jobs I can be reached at {x} after six.", "Letters go to {x} until autumn.", "Das alte Büro ({x}) leitet noch weiter.", "Zwischen zwei Stellen bin ich unter {x} nach sechs erreichbar.", "Post geht bis zum Herbst an {x}.",
-           "L'ancien bureau ({x}) transmet encore.", "Le courrier arrive chez {x} jusqu'à l'automne.", "Entre deux postes on me joint à {x} après six heures.", "Entre dos empleos se me encuentra en {x} después de las seis.", "Las cartas llegan a {x} hasta el otoño.", "La oficina antigua ({x}) aún reenvía mensajes.",
-           "As cartas chegam a {x} até ao outono.", "O escritório antigo ({x}) ainda reencaminha mensagens.", "Entre empregos estou em {x} depois das seis.", "المكتب القديم ({x}) ما زال يحول الرسائل.", "تصل الرسائل إلى {x} حتى الخريف.", "يمكن التواصل معي عبر {x} بعد السادسة."):
-    LINES += [_t.replace("{x}", s) for s in ("{email}", "{phone}", "{addr}")]
 # Sentences that name a street, a person or a number without giving an item.
 NO_ITEMS = [
-    "Moved {n} routes of the {S} {T} project.", "Projekt {S}weg mit {n} Strecken verlegt.", "Projekt {S}straße, {n} Strecken verlegt.", "Projet Rue {S}, {n} lignes déplacées.", "Projet Avenue {S}, {n} lignes déplacées.", "Proyecto Calle {S} con {n} rutas movidas.",
-    "Proyecto Plaza {S}, {n} rutas movidas.", "Projeto Rua {S}, {n} rotas mudadas.", "Projeto Largo {S} com {n} rotas mudadas.", "مشروع شارع {R}، نقل {n} مسارات.", "Led the {S} {T} project with {n} colleagues.", "Handled {n} {n}00 000 rows a day.", "Closed ticket REQ-20{m}-{n} within {m} days.",
+    "The {S} {T} scheme has {n} stops.", "Drew the plans of the {S} {T} depot, {n} sheets.", "Bauvorhaben {S}weg: {n} Pläne gezeichnet.", "Bauvorhaben {S}straße, {n} Pläne.", "Chantier Rue {S} : {n} plans.", "Chantier Avenue {S}, {n} plans.", "Obra Calle {S}: {n} planos.", "Obra Plaza {S}, {n} planos.",
+    "Obra Rua {S}: {n} plantas.", "Obra Largo {S}, {n} plantas.", "مشروع طريق {R} وفيه {n} محطة.", "مشروع شارع {R}، رسم {n} مخططا.", "Filed {d} {d}00 000 entries.", "{d} {d}00 000 Zeilen je Woche.", "Jusqu'à {d} {d}00 000 lignes.", "Unas {d} {d}00 000 filas.", "Order PO-20{m}-{n} closed in {m} days.", "Project {S} {T} with {n} people.", "Projekt {S}gasse, {n} Leute.", "Projet Rue {S}, {n} personnes.", "Proyecto Calle {S} con {n} personas.", "Projeto Rua {S} com {n} pessoas.",
 ]
-HEADERS = ["Curriculum Vitae - {name}", "Curriculum Vitae    {name}", "{name}  |  CV", "{name}, {job}", "{name}  |  CV   {p}", "Curriculum Vitae - {name}   {p}", "CV {name}"]
-REFEREES = ["{name}, {org}", "{name}, {org}, {email}", "{name}, {org}, {phone}", "{name}, {org} - {phone}", "{name}, {org}, Tel. {phone}", "{name}, {org}, {email}"]
+HEADERS = ["Lebenslauf {name}", "Résumé: {name}", "Résumé - {name}", "Profile - {name}", "Dossier - {name}   {p}", "Bewerbung - {name}", "Dossier    {name}", "{name} / Résumé", "{name}  |  CV", "{name}, {job}", "{name}  |  CV   {p}", "CV {name}", "CV of {name}   {p}", "File of {name}", "{name} - {p}", "Application of {name}"]
+REFEREES = ["{name}, {org}", "{name}, {org}, {email}", "{name}, {org}, {phone}", "{name}, {org} - {phone}", "{name}, {org}, Tel. {phone}", "{name}, {org}, {email}", "{name} ({org})", "{org}: {name}"]
 SEPARATORS = [" | ", " · ", ", ", "  ", "  ", "  ", "  ", "\n", "\n", "\n"]
 HEADINGS = "References|Referenzen|Références|Referencias|Referências|المراجع".split("|")
 DETAILS = "Personal details|Persönliche Angaben|Informations personnelles|Datos personales|Dados pessoais|البيانات الشخصية".split("|")
@@ -87,8 +86,9 @@ DETAILS = "Personal details|Persönliche Angaben|Informations personnelles|Datos
 class Writer:
     """Random pages with marked items. jobs, organisations, plain: lines of the data without items, that stand around them."""
 
-    def __init__(self, seed: int, jobs: list[str], organisations: list[str], plain: list[str]) -> None:
-        self.r = random.Random(seed)
+    def __init__(self, seed: int, jobs: list[str], organisations: list[str], plain: list[str], lines: list[str] | None = None) -> None:
+        self.r, self.lines = random.Random(seed), lines or LINES
+        self.words = [w for w in sorted({w for x in plain[:3000] for w in x.split() if w.isalpha() and w[0].islower()})] or ["and"]
         self.cities = _CITIES + [w for w in sorted({w.strip(",.") for x in plain[:3000] for w in x.split()}) if len(w) > 4 and w.istitle() and w.isalpha()][:400]
         self.jobs, self.organisations, self.plain = jobs or ["Engineer"], organisations or ["Company Ltd"], plain or ["Skills"]
 
@@ -147,7 +147,7 @@ class Writer:
         r = self.r
         return {
             "name": lambda: (self.name(), "person_name"), "email": lambda: (self.email(), "email"), "phone": lambda: (self.form(r.choice(PHONE_FORMS)), "phone"), "id": lambda: (self.form(r.choice(ID_FORMS)), "identity_number"),
-            "addr": lambda: (self.address(), "street_address"), "job": lambda: (r.choice(self.jobs), None), "org": lambda: (r.choice(self.organisations), None), "p": lambda: (str(r.randrange(1, 9)), None), "file": lambda: (str(r.randrange(1, 1500)), None),
+            "addr": lambda: (self.address(), "street_address"), "job": lambda: (r.choice(self.jobs), None), "org": lambda: (r.choice(self.organisations), None), "p": lambda: (str(r.randrange(1, 9)), None),
         }[kind]()
 
     def blur(self, text: str) -> str:
@@ -157,49 +157,72 @@ class Writer:
             out += self.r.choice(reads) if reads and self.r.random() < 0.03 else c
         return out
 
+    def strange(self, text: str) -> str:
+        """Text with some of its words replaced by words that nobody knows: an unknown word isn't a name for that alone."""
+        return re.sub(r"[^\W\d_]{3,}", lambda m: m.group() if self.r.random() > 0.15 else (x := m.group()[::-1].lower()) and (x.capitalize() if m.group()[0].isupper() else x), text)
+
     def line(self, template: str) -> list[tuple[str, str | None]]:
         return [(x, None) if i % 2 == 0 else self.slot(x) for i, x in enumerate(re.split(r"\{(\w+)\}", template)) if x]
 
-    def page(self) -> tuple[list[str], list[int]]:
-        """Tokens and label places of one page."""
+    def inserted(self) -> list[tuple[str, str | None]]:
+        """A line of the data with an item put in anywhere, behind any word: what surrounds an item says little about it."""
+        r = self.r
+        words = r.choice(self.plain).split(" ")
+        at = r.randrange(len(words) + 1)
+        kind = r.choice(["name"] * 6 + ["email", "phone", "phone", "addr", "addr"])
+        lead = f"{r.choice(self.words)} " * (r.random() < 0.5)
+        open_, close = r.choice([("", "")] * 5 + [("(", ")"), (": ", ""), ("", ","), ("", ".")])
+        return [(" ".join([*words[:at], lead]).strip() + " " * (at > 0 or bool(lead)) + open_, None), self.slot(kind), (close + " " * (at < len(words)) + " ".join(words[at:]), None)]
+
+    def page(self, only: str | None = None) -> tuple[list[str], list[int]]:
+        """Tokens and label places of one snippet of a page: a few lines that stand together; or of the one line ``only``."""
         r = self.r
         parts: list[tuple[str, str | None]] = []
         add = lambda t: parts.extend([*self.line(t), ("\n", None)])
-        some = lambda: [parts.append((r.choice(self.plain) + "\n", None)) for _ in range(r.randrange(1, 7))]
-        header = r.choice(HEADERS + ["Confidential application file {file}", "Confidential application file {file}", "Confidential application file {file}   {p}"]) if r.random() < 0.35 else None
-        if header and r.random() < 0.5:
-            add(header)
-        if r.random() < 0.55:
+        some = lambda most: [parts.append((r.choice(self.plain) + "\n", None)) for _ in range(r.randrange(most + 1))]
+        bullet = lambda: r.choice(["", "", "- ", "• "])
+        kind = "only" if only else r.choices(["top", "line", "inserted", "none", "bare", "referees", "details", "header"], [14, 18, 30, 12, 8, 8, 8, 7])[0]
+        if kind not in ("top", "only"):
+            some(2)
+        if kind == "only":
+            add(only)
+        elif kind == "header":
+            add(r.choice(HEADERS))
+        elif kind == "top":
+            if r.random() < 0.3:
+                add(r.choice(HEADERS))
             add("{name}")
             add("{job}")
-            sep = r.choice(SEPARATORS)
             contact = [r.choice(_MAIL_WORDS) + "{email}", r.choice(_PHONE_WORDS) + "{phone}", "{addr}"]
-            add(sep.join(x for x in contact if r.random() < (0.95 if x == "{addr}" else 0.8)) or "{email}")
+            add(r.choice(SEPARATORS).join(x for x in contact if r.random() < (0.95 if x == "{addr}" else 0.8)) or "{email}")
             parts.append(("\n", None))
-        some()
-        for _ in range(r.choice([0, 1, 1, 2])):
-            add(r.choice(["", "- ", "• "]) + (r.choice(self.plain) + " ") * (r.random() < 0.4) + r.choice(LINES))
-            some()
-        if r.random() < 0.35:
-            parts.append((r.choice(["", "- ", "• "]) + self.fill(r.choice(NO_ITEMS)) + "\n", None))
-        for _ in range(r.choice([0, 0, 1, 2])):
-            add(r.choice(["{addr}", "{addr}", "{addr}", "{addr}", "{phone}", "{email}"]))
-        if r.random() < 0.5:
-            add(r.choice(HEADINGS))
+        elif kind == "line":
+            add(bullet() + (r.choice(self.plain) + " ") * (r.random() < 0.4) + r.choice(self.lines))
+        elif kind == "inserted":
+            parts += [(bullet(), None), *self.inserted(), ("\n", None)]
+        elif kind == "none":
+            parts.append((bullet() + self.fill(r.choice(NO_ITEMS)) + "\n", None))
+        elif kind == "bare":
+            add(r.choice(["{addr}", "{addr}", "{addr}", "{phone}", "{email}"]))
+        elif kind == "referees":
+            if r.random() < 0.6:
+                add(r.choice(HEADINGS))
             for _ in range(r.randrange(1, 4)):
                 add(r.choice(REFEREES))
-        if r.random() < 0.55:
+        else:
             words = r.choice(ID_WORDS)
             form = f"{words} {{id}}"
             if r.random() < 0.5:
                 add(r.choice(DETAILS))
-                add(r.choice([form, form, form + "{addr}"[:0], "{addr}", words + "\n{id}"]))
+                add(r.choice([form, form, form, "{addr}", words + "\n{id}"]))
             else:
                 add(f"{r.choice(self.plain).rstrip('.')} ({form}).")
-        if header and r.random() < 0.7:
-            add(header)
-        if r.random() < 0.4:
+        if kind != "only":
+            some(2)
+        if r.random() < 0.1 and kind != "only":
             parts.append((r.choice(["[{}]", "p. {}", "- {} -", "Page {} of 3", "{}/4", "{}"]).format(r.randrange(1, 5)) + "\n", None))
+        if r.random() < 0.3:
+            parts = [(self.strange(t) if k is None else t, k) for t, k in parts]
         noisy = r.random() < 0.25
         wrap = r.choice([0, 0, 60, 72])
         tokens, labels = [], []

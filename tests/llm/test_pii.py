@@ -1,11 +1,13 @@
 import random
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from lectern.llm.crf import Crf
-from lectern.llm.pii import find, items, redact, redacted, train
-from lectern.llm.pii_table import LABELS, TOKEN, Writer
+from lectern.llm.pii import find, items, plain_lines, redact, redacted, train
+from lectern.llm.pii_table import LABELS, LINES, TOKEN, Writer
 
 PLAIN = ["Led the planning of energy meters for three regional branches.", "Nurse Coordinator, Halden Labs (2008 - 2009)", "Quality Analyst, Pellow Rail (05/2012 - 2014)", "Invoice 119225-2018 was booked twice.", "Skills", "Python, SQL, Docker", "Education", "BSc Law, Norvik University, 1998", "Version 10.3.3.5664 ran on Kafka and Jenkins."]
 
@@ -14,18 +16,40 @@ PLAIN = ["Led the planning of energy meters for three regional branches.", "Nurs
 def crf():
     r = random.Random(0)
     texts = ["\n".join(r.choice(PLAIN) for _ in range(8)) for _ in range(60)]
-    return train(texts, train_pages=900)
-
-
-def test_held_out_accuracy(crf):
-    w = Writer(99, ["Nurse Coordinator", "Quality Analyst"], ["Halden Labs", "Pellow Rail"], PLAIN)
-    pages = [w.page() for _ in range(200)]
-    right = total = found = 0
-    for (_, want), got in zip(pages, crf.decode([t for t, _ in pages]), strict=True):
-        b = {(i, LABELS[x]) for i, x in enumerate(want) if LABELS[x].startswith("B-")}
-        g = {(i, LABELS[x]) for i, x in enumerate(got) if LABELS[x].startswith("B-")}
-        right, total, found = right + len(b & g), total + len(b), found + len(g)
-    assert right / total > 0.85 and right / found > 0.85
+    return train(texts, train_pages=1500)
+
+
+#: Sentences with items that no line of the table is like, in the languages of the table.
+OTHERS = [
+    "The keys are with {name} in room twelve.", "A letter from {name} is attached.", "Please reply to {email} by Friday.", "Messages for me can be left at {phone} all day.", "We moved to {addr} last year.",
+    "Die Schlüssel liegen bei {name} im Büro.", "Bitte bis Freitag an {email} antworten.", "Nachrichten für mich gehen an {phone} zu jeder Zeit.", "Les clés sont chez {name} au bureau.", "Merci de répondre à {email} avant vendredi.",
+    "Las llaves las tiene {name} en la oficina.", "Pueden dejar recado en {phone} todo el día.", "As chaves estão com {name} no escritório.", "Respondam para {email} até sexta.", "المفاتيح عند {name} في المكتب.", "يمكن ترك رسالة على {phone} طوال اليوم.",
+]
+
+
+def kinds_by_line(tokens, labels):
+    line, out = 1, set()
+    for t, x in zip(tokens, labels, strict=True):
+        if LABELS[x].startswith("B-"):
+            out.add((line, LABELS[x][2:]))
+        line += t == "\n"
+    return out
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01/cv_pages.parquet").exists(), reason="needs pages")
+def test_held_out_templates():
+    """The model is asked only for lines made from templates that it wasn't trained on: every third of the table, and sentences in other words."""
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/cv_pages.parquet", columns=["text"])["text"].to_pylist() if t]
+    crf = train(texts, lines=[x for i, x in enumerate(LINES) if i % 3])
+    jobs, organisations, plain, _ = plain_lines(sorted(texts))
+    for held in (LINES[::3], OTHERS):
+        w = Writer(99, jobs, organisations, plain)
+        pages = [w.page(held[i % len(held)]) for i in range(400)]
+        right = total = found = 0
+        for (tokens, want), got in zip(pages, crf.decode([t for t, _ in pages]), strict=True):
+            b, g = kinds_by_line(tokens, want), kinds_by_line(tokens, got)
+            right, total, found = right + len(b & g), total + len(b), found + len(g)
+        assert right / total > 0.9 and right / found > 0.9, (right, total, found)
 
 
 def test_viterbi_against_brute_force():
