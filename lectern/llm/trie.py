@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable
 
 # What a scan makes of characters; each text on the left may be read as any on the right.
@@ -19,32 +21,99 @@ for _true, _reads in CONFUSIONS.items():
         _BY_TRUE.setdefault(_true[0], []).append((_true, _read))
 
 
+#: Behind every character.
+LAST = "\U0010ffff"
+
+
+class _Node:
+    """The words first..last - 1, which agree in their first ``depth`` characters."""
+
+    __slots__ = ("children", "depth", "first", "last")
+
+    def __init__(self, first: int, last: int, depth: int) -> None:
+        self.first, self.last, self.depth, self.children = first, last, depth, None
+
+
 class Trie:
-    """Words with counts; ``search`` gives every word that a string may be a misreading of."""
+    """Words with counts; ``search`` gives every word that a string may be a misreading of.
+
+    The words stand in one sorted list, and a node is a range of it: its children are found by bisection when a search first comes there, so that memory goes to what is asked for.
+    """
 
     def __init__(self, words: Iterable[tuple[str, int]]) -> None:
-        self.root: dict = {}
-        for w, n in words:
-            node = self.root
-            for c in w:
-                node = node.setdefault(c, {})
-            node[""] = n
+        both = sorted(dict(words).items())
+        self.words, self.counts = [w for w, _ in both], array("q", (n for _, n in both))
+        self.root = _Node(0, len(self.words), 0)
+
+    def kids(self, node: _Node) -> dict[str, _Node]:
+        if node.children is None:
+            node.children, words, d = {}, self.words, node.depth
+            i = node.first + self.ends(node)
+            while i < node.last:
+                c = words[i][d]
+                j = bisect_right(words, words[i][: d + 1] + LAST, i, node.last)
+                node.children[c] = _Node(i, j, d + 1)
+                i = j
+        return node.children
+
+    def ends(self, node: _Node) -> bool:
+        """Whether a word ends at the node."""
+        return node.first < node.last and len(self.words[node.first]) == node.depth
+
+    def down(self, node: _Node | None, text: str) -> _Node | None:
+        """The node that a text leads to."""
+        for c in text:
+            if node is None:
+                return None
+            node = self.kids(node).get(c)
+        return node
+
+    def starting(self, prefix: str) -> range:
+        """Places in ``words`` of all words that start so."""
+        i = bisect_left(self.words, prefix)
+        return range(i, bisect_right(self.words, prefix + LAST, i))
+
+    def near(self, read: str) -> list[tuple[str, int]]:
+        """All (word, count) one plain edit away: a character put in, left out, replaced, or two neighbours swapped. The automaton of one edit: along the path of what was read
+        so far every branch is tried once, and behind the edit only the rest itself leads on.
+        """
+        found: dict[str, int] = {}
+
+        def end(node: _Node | None, text: str) -> None:
+            node = self.down(node, text)
+            if node is not None and self.ends(node):
+                found[self.words[node.first]] = self.counts[node.first]
+
+        node: _Node | None = self.root
+        for i in range(len(read) + 1):
+            if node is None:
+                break
+            rest = read[i + 1 :]
+            if i < len(read):
+                end(node, rest)  # a character too many
+                if i + 1 < len(read):
+                    end(node, read[i + 1] + read[i] + read[i + 2 :])
+            for c, child in self.kids(node).items():
+                end(child, read[i:])  # one is missing
+                if i < len(read) and c != read[i]:
+                    end(child, rest)
+            node = self.kids(node).get(read[i]) if i < len(read) else None
+        found.pop(read, None)
+        return list(found.items())
 
     def search(self, read: str, errors: int, edits: int = 0) -> list[tuple[str, int, int, int]]:
         """All (word, count, errors used, plain edits used) that become ``read`` by at most ``errors`` confusions or, of these, at most ``edits`` plain
         insertions, deletions or substitutions: the automaton's states (place in ``read``, errors, edits, rest of a true digraph) run down the trie together.
         """
         n, found = len(read), {}
-        stack: list[tuple[dict, str, frozenset]] = [(self.root, "", self._close({(0, 0, 0, "")}, n, errors, edits))]
+        stack: list[tuple[_Node, frozenset]] = [(self.root, self._close({(0, 0, 0, "")}, n, errors, edits))]
         while stack:
-            node, word, states = stack.pop()
-            if "" in node:
+            node, states = stack.pop()
+            if self.ends(node):
                 ends = [(e, p) for i, e, p, rest in states if i == n and not rest]
                 if ends:
-                    found[word] = (node[""], *min(ends))
-            for c, child in node.items():
-                if not c:
-                    continue
+                    found[self.words[node.first]] = (self.counts[node.first], *min(ends))
+            for c, child in self.kids(node).items():
                 after = set()
                 for i, e, p, rest in states:
                     if rest:
@@ -62,7 +131,7 @@ class Trie:
                             if i < n:
                                 after.add((i + 1, e + 1, p + 1, ""))
                 if after:
-                    stack.append((child, word + c, self._close(after, n, errors, edits)))
+                    stack.append((child, self._close(after, n, errors, edits)))
         return [(w, *v) for w, v in found.items()]
 
     @staticmethod
