@@ -6,6 +6,9 @@ For a text t of host h with label d and address suffix s, the score of language
 
 with the word likelihoods of ``langmodel``, the label likelihoods counted over the whole table (how often each label stands on texts of each language), and
 host priors smoothed hierarchically (host towards its source, source towards the whole) from counts by grouped aggregation.
+
+A paragraph of a text with main language m is fused in the same way: its own words, and as prior m with 1 - SWITCH, any other language with SWITCH times its share of what
+label and host say of the languages besides m. It is in the language of the greatest posterior.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ from lectern.sources.shared import stored
 SAMPLE_ROWS = 1_500
 #: Words aren't independent: their log-likelihoods count by this much.
 TEMPER = 0.3
-#: A paragraph is in another language if at least so many of its words vote for it, and at least twice as many as for the main language.
-SEGMENT_VOTES = 4
+#: Prior share of paragraphs in another language than the main one.
+SWITCH = 0.05
+#: Text evidence (in nats) beyond which label and host can't move the main language; below it all paragraphs are kept until it is known.
+SURE = 15.0
 #: Texts handled at once.
 SLICE = 500
 #: Weight of the broader level in a host's prior, in texts; rows of the label table are smoothed by one text.
@@ -38,8 +43,8 @@ PRIOR_WEIGHT = 5.0
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "co": "es", "cl": "es", "pe": "es", "pt": "pt", "br": "pt", "uk": "en", "us": "en", "au": "en", "ie": "en", "nz": "en", "sa": "ar", "ae": "ar", "eg": "ar", "ma": "ar", "jo": "ar", "qa": "ar", "kw": "ar"}
 _SUFFIX = re.compile(r"(?:@|https?://|www\.)[\w.-]*\.([a-z]{2})\b")
 _N = len(LANGS)
-_SIGNALS = "origin string, item_id bigint, source string, host string, label string, named boolean, ll array<float>, segments array<struct<seg_no:int,ll:array<float>,votes:array<float>>>"
-_OUT = pa.schema([("origin", pa.string()), ("item_id", pa.int64()), ("source", pa.string()), ("host", pa.string()), ("label", pa.string()), ("named", pa.bool_()), ("ll", pa.list_(pa.float32())), ("segments", pa.list_(pa.struct([("seg_no", pa.int32()), ("ll", pa.list_(pa.float32())), ("votes", pa.list_(pa.float32()))])))])
+_SIGNALS = "origin string, item_id bigint, source string, host string, label string, named boolean, ll array<float>, segments array<struct<seg_no:int,ll:array<float>>>"
+_OUT = pa.schema([("origin", pa.string()), ("item_id", pa.int64()), ("source", pa.string()), ("host", pa.string()), ("label", pa.string()), ("named", pa.bool_()), ("ll", pa.list_(pa.float32())), ("segments", pa.list_(pa.struct([("seg_no", pa.int32()), ("ll", pa.list_(pa.float32()))])))])
 
 
 def fit(texts: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
@@ -73,8 +78,11 @@ def _signals(texts: DataFrame, model: LanguageModel) -> DataFrame:
             if (s := _SUFFIX.search(text)) and s.group(1) in SUFFIXES:
                 v[LANGS.index(SUFFIXES[s.group(1)])] += 2.0 / TEMPER  # e**2 times as likely
             sums.append(v)
-            strong = np.nonzero(found[:, 1].max(axis=1) >= SEGMENT_VOTES)[0]
-            segments.append([{"seg_no": int(k) + 1, "ll": found[k, 0], "votes": found[k, 1]} for k in strong])
+            # Only paragraphs whose words could outweigh the prior of the main language move.
+            own, (second, first) = found[:, 0], np.sort(v)[-2:]
+            against = own[:, int(v.argmax())] if TEMPER * (first - second) > SURE else own.min(axis=1)
+            strong = np.nonzero(TEMPER * (own.max(axis=1) - against) >= math.log((1 - SWITCH) / SWITCH))[0]
+            segments.append([{"seg_no": int(k) + 1, "ll": own[k]} for k in strong])
         return pa.RecordBatch.from_arrays([b.column("origin").cast(pa.string()), b.column("item_id"), b.column("source").cast(pa.string()), b.column("host").cast(pa.string()), pa.array(labels, pa.string()), pa.array(named, pa.bool_()), pa.array(sums, _OUT.field("ll").type), pa.array(segments, _OUT.field("segments").type)], schema=_OUT)
 
     return texts.where("text is not null and item_id is not null").select("origin", "item_id", "source", "host", "text", "label").mapInArrow(run, _SIGNALS)
@@ -122,15 +130,16 @@ def languages(texts: DataFrame, sample_rows: int = SAMPLE_ROWS, model: LanguageM
     joined = seen.join(by_host, (F.col("origin") == F.col("o")) & F.col("source").eqNullSafe(F.col("s")) & F.col("host").eqNullSafe(F.col("h")))
     of_label_col = F.coalesce(F.try_element_at(label_map, F.concat_ws("/", "origin", F.coalesce("label", F.lit("None")))), F.array(*[F.lit(0.0)] * _N))
     with_label = F.zip_with(F.transform("ll", lambda x: x.cast("double") * TEMPER), of_label_col, lambda a, b: a + b)
-    scored = joined.select("origin", "item_id", "label", "named", "segments", F.zip_with(with_label, "prior", lambda a, p: a + F.log(p)).alias("score"))
+    scored = joined.select("origin", "item_id", "label", "segments", F.zip_with(with_label, "prior", lambda a, p: a + F.log(p)).alias("score"), F.zip_with(of_label_col, "prior", lambda o, p: F.exp(o) * p).alias("other"))
     names = F.array(*map(F.lit, LANGS))
-    main = scored.select("origin", "item_id", "label", "segments", _best(F.col("score")).alias("m"), F.col("score"))
-    found = main.select("origin", "item_id", "label", "m", F.element_at(names, F.col("m")).alias("lang"), _softmax_top(F.col("score")).alias("confidence"), "segments")
+    found = scored.select("origin", "item_id", "label", "segments", "other", _best(F.col("score")).alias("m"), _softmax_top(F.col("score")).alias("confidence")).withColumn("lang", F.element_at(names, F.col("m")))
+    besides = F.aggregate("other", F.lit(0.0), lambda a, x: a + x) - F.element_at("other", F.col("m"))
+    prior = F.transform("other", lambda x, i: F.when(i + 1 == F.col("m"), math.log(1 - SWITCH)).otherwise(math.log(SWITCH) + F.log(x / besides)))
+    fused = F.transform("segments", lambda s: F.struct(s["seg_no"].alias("seg_no"), F.zip_with(s["ll"], "prior", lambda x, p: x.cast("double") * TEMPER + p).alias("post")))
+    found = found.withColumn("prior", prior).withColumn("fused", fused)
     segments = F.transform(
-        F.filter("segments", lambda s: (_best(s["votes"]) != F.col("m")) & (F.array_max(s["votes"]) >= 2 * F.element_at(s["votes"], F.col("m")))),
-        lambda s: F.struct(
-            s["seg_no"].alias("seg_no"), F.element_at(names, _best(s["votes"])).alias("lang"), _softmax_top(F.transform(s["ll"], lambda x: x.cast("double") * TEMPER)).alias("confidence"), F.lit(None).cast("boolean").alias("label_right")
-        ),
+        F.filter("fused", lambda s: _best(s["post"]) != F.col("m")),
+        lambda s: F.struct(s["seg_no"].alias("seg_no"), F.element_at(names, _best(s["post"])).alias("lang"), _softmax_top(s["post"]).alias("confidence"), F.lit(None).cast("boolean").alias("label_right")),
     )
     first = F.struct(F.lit(0).alias("seg_no"), F.col("lang"), F.col("confidence"), F.coalesce(F.col("label") == F.col("lang"), F.lit(False)).alias("label_right"))
     return found.select("origin", "item_id", "label", F.explode(F.concat(F.array(first), segments)).alias("x")).select("origin", "item_id", "x.seg_no", "x.lang", "x.confidence", "label", "x.label_right")
