@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.tokens import TOKENIZER, count_tokens
+from lectern.llm.tokens import TOKENIZER, WORDS, count_tokens
 from lectern.sources.shared import small, stored
 
 #: Items that one task rounds, on average, and residuals that one task of the next level of the tree combines.
@@ -100,9 +100,11 @@ def copies(df: DataFrame, id_col: str, source_col: str, size_col: str, targets:
     done, open_, shards = [], rated, level0
     while True:
         step = open_.groupBy("source", "shard").applyInPandas(rounds(shards == 1), shape)
-        done.append(step.where("taken is not null"))
         if shards == 1:
+            done.append(step.where("taken is not null"))
             break
+        step = stored(step)  # read by the result and by the next level
+        done.append(step.where("taken is not null"))
         shards = -(-shards // FAN_IN)
         open_ = step.where("taken is null").select("id", "source", "size", "sure", "odds", F.pmod("shard", F.lit(shards)).cast("int").alias("shard"))
     out = done[0]
@@ -142,5 +144,17 @@ def p9_shares(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> D
     return shares(copies(docs, "doc_id", "source", "tokens", targets), targets)
 
 
-QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares}
-SQL: dict[str, str] = {}
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix must keep, by source with a target: its share of the tokens but for an item of each source, no item repeated too often; sizes in words and signs."""
+    docs, targets = _documents(spark, sf_dir, WORDS)
+    mixed = stored(copies(docs, "doc_id", "source", "tokens", targets))
+    largest = mixed.agg(F.max("size").alias("largest"))
+    s = shares(mixed, targets).join(F.broadcast(largest))
+    present = s.where("items > 0").agg(F.sum("target_share").alias("all_shares"), F.count("*").alias("sources"), F.sum("tokens").alias("all_tokens"))
+    s = s.join(F.broadcast(present)).join(small(targets.select("source", "max_repeats")), "source")
+    near = F.abs(F.col("tokens") - F.col("target_share") / F.col("all_shares") * F.col("all_tokens")) <= F.col("largest") * F.col("sources")
+    return s.where("items > 0").select("source", near.alias("reached"), (F.col("most_repeats") <= F.coalesce("max_repeats", F.lit(1))).alias("capped"))
+
+
+QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares, "p9_kept": p9_kept}
+SQL = {"p9_kept": "select source, true as reached, true as capped from mix_targets where target_share > 0 and source in (select source from documents where text is not null)"}

@@ -105,6 +105,8 @@ _LINES = """
 select distinct 'page' as origin, page_id as item_id, text as t from cv_pages where text is not null
 union select distinct 'jd', request_id, jd_text from score_requests where jd_text is not null"""
 _WORDS = "regexp_extract_all(plain, '[\\p{L}\\p{M}\\p{N}]+')"
+# Blocks of the Unicode charts, not the tables of the operator: full and half width, mathematical, letter-like, enclosed and small letters, ligatures, Arabic presentation forms.
+_BLOCKS = "[\\x{ff10}-\\x{ff19}\\x{ff21}-\\x{ff3a}\\x{ff41}-\\x{ff5a}\\x{ff66}-\\x{ffdc}\\x{1d400}-\\x{1d7ff}\\x{2102}-\\x{2113}\\x{2115}\\x{2119}-\\x{211d}\\x{2124}-\\x{2139}\\x{2145}-\\x{2149}\\x{2460}-\\x{24ff}\\x{1f110}-\\x{1f149}\\x{fb00}-\\x{fb06}\\x{fb50}-\\x{fbff}\\x{fc00}-\\x{fd3d}\\x{fd50}-\\x{fdfb}\\x{fe70}-\\x{fefc}]"
 SQL = {
     "p5_found": f"""
 with texts as ({_LINES}),
@@ -113,8 +115,8 @@ seen as (select *, nfc_normalize(regexp_replace(l, '\\p{{Cf}}', '', 'g')) as pla
 select distinct origin, item_id, cast(line_no as int) as line_no from seen
 where regexp_matches(l, '\\p{{Cf}}') or regexp_matches(replace(l, ' ', ''), '\\p{{Zs}}')
   or length(nfc_normalize(l)) < length(l)
-  or regexp_matches(l, {_q(char_class(tables()["styled"]))})
+  or regexp_matches(l, '{_BLOCKS}')
   or len(list_filter({_WORDS}, lambda w: regexp_matches(w, '\\p{{Latin}}') and regexp_matches(w, '[\\p{{Greek}}\\p{{Cyrillic}}]')
-       or regexp_matches(w, '[کی]') and w not in ({", ".join(map(_q, PERSIAN_WORDS))}))) > 0
+       or regexp_matches(w, '[کی]') and not regexp_matches(w, '[پچژگ]') and w not in ('فارسی', 'کردی', 'کوردی', 'دری', 'اردو'))) > 0
 """,
 }

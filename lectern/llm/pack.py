@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.split import _limit
-from lectern.llm.tokens import TOKENIZER, count_tokens
+from lectern.llm.tokens import TOKENIZER, WORDS, count_tokens
 
 #: Items that one task packs, on average; thousands of containers, so that the last, part-filled one hardly counts.
 SHARD_ITEMS = 20_000
@@ -109,5 +109,20 @@ def p8_packed(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> D
     return pack(docs, "doc_id", "tokens", capacity).withColumnsRenamed({"id": "doc_id", "size": "tokens"})
 
 
-QUERIES = {"p8_packed": p8_packed}
-SQL: dict[str, str] = {}
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What packing must keep: every document with all its tokens, as whole as its size allows, in containers that aren't overfull; sizes in words and signs."""
+    capacity, _ = _limit(spark, sf_dir, "pack")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", count_tokens(F.col("text"), WORDS).alias("tokens"))
+    packed = pack(docs, "doc_id", "tokens", capacity)
+    held = packed.groupBy("container").agg(F.sum("size").alias("held"))
+    each = packed.join(held, "container").groupBy(F.col("id").alias("doc_id"))
+    return each.agg(F.sum("size").cast("long").alias("tokens"), F.count("*").alias("parts"), F.bool_and(F.col("held") <= capacity).alias("fits"))
+
+
+QUERIES = {"p8_packed": p8_packed, "p8_kept": p8_kept}
+SQL = {
+    "p8_kept": """
+with d as (select doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\\p{Z}\\x09-\\x0d\\x1c-\\x1f\\x85]')) as n from documents), c as (select max_tokens as cap from size_limits where purpose = 'pack')
+select doc_id, cast(n as bigint) as tokens, cast(ceil(n / cap) as bigint) as parts, true as fits from d, c where n > 0
+""",
+}

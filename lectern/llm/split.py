@@ -137,10 +137,18 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", limit, overlap).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p10_found": p10_found, "p10_pieces": p10_pieces}
-SQL = {
-    "p10_found": """
-select doc_id from documents
-where len(regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\\p{Z}\\x09-\\x0d\\x1c-\\x1f\\x85]')) > (select max_tokens from size_limits where purpose = 'split')
-""",
-}
+def p10_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What cutting must keep: the pieces of a document put together again without what they share, as a hash, and whether all are within the limit; sizes in words and signs."""
+    limit, overlap = _limit(spark, sf_dir, "split")
+    pieces = split_texts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id", "text", limit, overlap, WORDS)
+    own = F.struct("piece_no", "first_char", "last_char", "text")
+    each = pieces.groupBy(F.col("id").alias("doc_id")).agg(F.array_sort(F.collect_list(own)).alias("p"), F.bool_and((F.col("n_tokens") <= limit) & (F.regexp_count("text", F.lit(WORD_PATTERN)) <= limit)).alias("within"))  # a document's pieces
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("t"))
+    whole = F.aggregate("p", start, lambda acc, x: F.struct((x["last_char"] + 1).alias("at"), F.concat(acc["t"], F.substr(x["text"], (acc["at"] - x["first_char"] + 1).cast("int"))).alias("t")))
+    return each.select("doc_id", F.md5(whole["t"]).alias("form"), "within")
+
+
+QUERIES = {"p10_found": p10_found, "p10_pieces": p10_pieces, "p10_rejoined": p10_rejoined}
+_LARGE = """documents
+where len(regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\\p{Z}\\x09-\\x0d\\x1c-\\x1f\\x85]')) > (select max_tokens from size_limits where purpose = 'split')"""
+SQL = {"p10_found": f"select doc_id from {_LARGE}", "p10_rejoined": f"select doc_id, md5(text) as form, true as within from {_LARGE}"}
