@@ -22,12 +22,13 @@ def cosine_top_k(queries: DataFrame, rows: DataFrame, id_col: str, vec_col: str,
     """(query, neighbour, cosine, place) for each query: its k nearest rows by cosine, itself left out; ties go to the smaller id.
 
     Both sides are packed into blocks by a hash of the id; every pair of blocks is one multiplication of matrices that leaves k rows a query, and a window over those gives the
-    result. Vectors of another length than most of their block's, without length or with nulls, have cosine 0. Null ids and null vectors drop out; repeated rows repeat; empty tables give an empty result.
+    result. Vectors with another number of values than most queries have (the greater number, where two are as frequent) and vectors of length 0 have cosine 0 with all; nulls in a vector count as 0. Null ids and null vectors drop out; repeated rows repeat; empty tables give an empty result.
     """
+    sizes = queries.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).groupBy(F.size(vec_col).alias("size")).count()
+    width = sizes.agg(F.max(F.struct("count", "size"))["size"].alias("w")).first().w or 0
     out = pa.schema([("query", pa.int64()), ("neighbour", pa.int64()), ("cosine", pa.float64())])
 
     def matrix(items: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        width = max((len(x["v"]) for x in items), default=0)
         m = np.array([[0.0 if y is None else y for y in x["v"]] if len(x["v"]) == width else [0.0] * width for x in items], np.float64).reshape(len(items), width)
         length = np.sqrt((m * m).sum(axis=1, keepdims=True))
         return np.array([x["i"] for x in items]), np.divide(m, length, out=np.zeros_like(m), where=length > 0)
@@ -36,14 +37,16 @@ def cosine_top_k(queries: DataFrame, rows: DataFrame, id_col: str, vec_col: str,
         for b in batches:
             for q, r in zip(b.column(0), b.column(1), strict=True):
                 (qi, qm), (ri, rm) = matrix(q.as_py()), matrix(r.as_py())
-                if qm.shape[1] != rm.shape[1]:
-                    continue
                 score = np.round(qm @ rm.T, 12)
                 score[qi[:, None] == ri[None, :]] = -2
-                order = np.lexsort((np.broadcast_to(ri, score.shape), -score), axis=1)[:, :k]
-                best = np.take_along_axis(score, order, axis=1)
-                keep = best > -2
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, order.shape[1])[keep.ravel()]), pa.array(ri[order].ravel()[keep.ravel()]), pa.array(best.ravel()[keep.ravel()])], schema=out)
+                # The k-th score of each query bounds what stays; only that is sorted, ties by id.
+                bound = -np.partition(-score, k - 1, axis=1)[:, k - 1] if score.shape[1] > k else np.full(len(qi), -1.5)
+                at, to = np.nonzero((score >= bound[:, None]) & (score > -2))
+                order = np.lexsort((ri[to], -score[at, to], at))
+                at, to = at[order], to[order]
+                place = np.arange(len(at)) - np.searchsorted(at, at)
+                at, to = at[place < k], to[place < k]
+                yield pa.RecordBatch.from_arrays([pa.array(qi[at]), pa.array(ri[to]), pa.array(score[at, to])], schema=out)
 
     pairs = _blocks(queries, id_col, vec_col, QUERY_BLOCK, "q").crossJoin(_blocks(rows, id_col, vec_col, ROW_BLOCK, "r"))  # a query set in blocks, one row for each pair of blocks
     near = pairs.mapInArrow(run, "query bigint, neighbour bigint, cosine double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -12,13 +12,19 @@ from lectern.sources.shared import small
 from lectern.sources.tables import current_profiles, latest, table
 
 R = Registry()
+#: Terms of which the patterns are part of a plan, at most.
+MOST_TERMS = 500
 _DIG = "translate({}, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789')"
 _NORM = "lower(trim(regexp_replace({}, '[ \\t\\n\\r\\f]+', ' ', 'g')))"
 
 
-def pages(spark: SparkSession, sf_dir: str, keep: list[str]) -> DataFrame:
-    """Every page once."""
-    return latest(table(spark, sf_dir, "cv_pages"), "page_id", ["ingested_at"], keep)
+def pages(spark: SparkSession, sf_dir: str, **keep: Column) -> DataFrame:
+    """Every page once, with what is computed from it; re-deliveries are exact, so that the results meet and not the texts."""
+    return latest(table(spark, sf_dir, "cv_pages").where("text is not null"), "page_id", ["ingested_at"], keep)
+
+
+def _lines(text: str = "text") -> Column:
+    return F.transform(F.split(text, "\n"), lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), x.alias("line")))
 
 
 def _q(s: str) -> str:
@@ -29,7 +35,7 @@ def _q(s: str) -> str:
 def normalized_pages(spark, sf_dir):
     """Page texts with plain digits, collapsed blanks and small letters, as a hash."""
     t = ascii_digits(F.col("text"))
-    return pages(spark, sf_dir, ["text"]).where("text is not null").select("page_id", F.md5(T.norm(t)).alias("form"), F.length(t).cast("long").alias("chars"))
+    return pages(spark, sf_dir, form=F.md5(T.norm(t)), chars=F.length(t).cast("long"))
 
 
 @R.query(f"""
@@ -38,7 +44,7 @@ e as (select distinct page_id, lower(rtrim(raw, '.')) as email from m)
 select page_id, email, regexp_matches(regexp_extract(email, '@([^@]*)$', 1), {_q(T.PLACEHOLDER_DOMAIN)}) or regexp_matches(regexp_extract(email, '^([^@]*)@', 1), {_q(T.PLACEHOLDER_LOCAL)}) as placeholder from e""")
 def emails_flagged(spark, sf_dir):
     """E-mail addresses of pages, with a mark on those that stand for no real one."""
-    found = pages(spark, sf_dir, ["text"]).select("page_id", F.explode(T.emails(F.col("text"))).alias("email")).distinct()
+    found = pages(spark, sf_dir, e=T.emails(F.col("text"))).select("page_id", F.explode("e").alias("email"))
     return found.select("page_id", "email", T.is_placeholder(F.col("email")).alias("placeholder"))
 
 
@@ -46,7 +52,7 @@ def emails_flagged(spark, sf_dir):
 select distinct page_id, regexp_replace(raw, '[.,);:\\]]+$', '') as link from (select page_id, unnest(regexp_extract_all(text, {_q(T.LINK)})) as raw from {PAGES})""")
 def links_found(spark, sf_dir):
     """Links on pages."""
-    return pages(spark, sf_dir, ["text"]).select("page_id", F.explode(T.links(F.col("text"))).alias("link")).distinct()
+    return pages(spark, sf_dir, x=T.links(F.col("text"))).select("page_id", F.explode(F.array_distinct("x")).alias("link"))
 
 
 @R.query(f"""
@@ -57,13 +63,13 @@ d as (select page_id, raw, k, regexp_replace(raw, '[^0-9]', '', 'g') as digits f
 select page_id, right(digits, 9) as key, arg_min(raw, k) as raw from d where length(digits) between 8 and 15 group by page_id, right(digits, 9)""")
 def phones_found(spark, sf_dir):
     """Telephone numbers of pages: keyed and international forms, one for each key."""
-    return pages(spark, sf_dir, ["text"]).select("page_id", F.inline(T.phones(F.col("text"))))
+    return pages(spark, sf_dir, x=T.phones(F.col("text"))).select("page_id", F.inline("x"))
 
 
 @R.query()
 def phones_all(spark, sf_dir):
     """Telephone numbers of pages in all forms: keyed, international with + or 00 and local ones, one for each key. Its lookbehinds have no form in SQL."""
-    return pages(spark, sf_dir, ["text"]).select("page_id", F.inline(T.all_phones(F.col("text"))))
+    return pages(spark, sf_dir, x=T.all_phones(F.col("text"))).select("page_id", F.inline("x"))
 
 
 @R.query(f"""
@@ -87,7 +93,7 @@ def quote_verify(spark, sf_dir):
     tagged = lambda part, col: F.coalesce(F.transform(f"{col}.evidence.quote", lambda q: F.struct(F.lit(part).alias("part"), q.alias("quote"))), F.array().cast("array<struct<part:string,quote:string>>"))
     c = current_profiles(spark, sf_dir, {"q": F.concat(tagged("skill", "skills"), tagged("experience", "experiences"), tagged("education", "education"))})
     quotes = c.select("profile_id", F.inline("q")).where("length(trim(quote)) >= 8").distinct()
-    p = pages(spark, sf_dir, ["profile_id", "page", "text"]).where("text is not null").select(F.col("profile_id").alias("pid"), "page", T.norm(F.col("text")).alias("t"))
+    p = table(spark, sf_dir, "cv_pages").where("page_id is not null and text is not null").select(F.col("profile_id").alias("pid"), "page", T.norm(F.col("text")).alias("t"))
     joined = quotes.join(p, (F.col("profile_id") == F.col("pid")) & F.col("t").contains(T.norm(F.col("quote"))), "left")
     return joined.groupBy("profile_id", "part", "quote").agg(F.min("page").alias("page"))
 
@@ -100,8 +106,14 @@ select term_id, term, cast(count(distinct p.page_id) as bigint) as pages, cast(c
 def term_verify(spark, sf_dir):
     """Pages and profiles on which each reference skill stands as whole words, in singular or plural; the list of terms is small and fixed."""
     terms = table(spark, sf_dir, "skill_terms").select("term_id", "term", T.term_pattern(F.col("term")).alias("pattern"))
-    p = pages(spark, sf_dir, ["profile_id", "text"])
-    hits = p.join(small(terms), F.expr("text rlike pattern")).groupBy("term_id").agg(F.countDistinct("page_id").alias("pages"), F.countDistinct("profile_id").alias("profiles"))
+    few = terms.limit(MOST_TERMS + 1).collect()
+    p = table(spark, sf_dir, "cv_pages").where("page_id is not null and text is not null")
+    if few and len(few) <= MOST_TERMS:  # each pattern is compiled once; a page is read once for all terms
+        found = F.array_compact(F.array(*[F.when(F.col("text").rlike(t.pattern), F.lit(t.term_id)) for t in few if t.pattern]))
+        met = pages(spark, sf_dir, profile_id=F.col("profile_id"), t=found).select("page_id", "profile_id", F.explode("t").alias("term_id"))
+    else:
+        met = p.join(terms, F.expr("text rlike pattern")).select("page_id", "profile_id", "term_id")
+    hits = met.groupBy("term_id").agg(F.countDistinct("page_id").alias("pages"), F.countDistinct("profile_id").alias("profiles"))
     return terms.select("term_id", "term").join(hits, "term_id", "left").na.fill(0, ["pages", "profiles"])
 
 
@@ -113,7 +125,7 @@ def injection_flags(spark, sf_dir):
     """Fragments of pages that speak to a model."""
     low = F.lower(F.col("text"))
     found = F.flatten(F.array(*[F.regexp_extract_all(low, F.lit(f"({p})"), 1) for p in T.INJECTION]))
-    return pages(spark, sf_dir, ["text"]).select("page_id", F.explode(found).alias("hit")).groupBy("page_id", "hit").agg(F.count("*").alias("times"))
+    return pages(spark, sf_dir, x=found).select("page_id", F.explode("x").alias("hit")).groupBy("page_id", "hit").agg(F.count("*").alias("times"))
 
 
 @R.query(f"""
@@ -121,18 +133,18 @@ select request_id, md5(array_to_string(list_transform(string_split(jd_text, chr(
 from (select * from score_requests where jd_text is not null qualify row_number() over (partition by request_id order by ingested_at desc nulls last) = 1)""")
 def redacted_jobs(spark, sf_dir):
     """Job descriptions without lines that speak to a model, as a hash."""
-    return latest(table(spark, sf_dir, "score_requests").where("jd_text is not null"), "request_id", ["ingested_at"], ["jd_text"]).select("request_id", F.md5(T.redact_lines(F.col("jd_text"))).alias("form"))
+    return latest(table(spark, sf_dir, "score_requests").where("jd_text is not null"), "request_id", ["ingested_at"], {"form": F.md5(T.redact_lines(F.col("jd_text")))})
 
 
 @R.query(
     "select * from ("
-    + " union all ".join(f"select page_id, '{k}' as attribute, trim(regexp_extract(text, '(?i)(?:^|\\n) *{p} *: *([^\\n]{{1,60}})', 2)) as found from {PAGES} where regexp_matches(text, '(?i)(?:^|\\n) *{p} *: *[^\\n]')" for k, p in T.PROTECTED.items())
+    + " union all ".join(f"select page_id, '{k}' as attribute, trim(regexp_extract(text, '(?i)(?:^|\\n) *{p} *: *([^\\n]+)', 2)) as found from {PAGES} where regexp_matches(text, '(?i)(?:^|\\n) *{p} *: *[^\\n]')" for k, p in T.PROTECTED.items())
     + ")"
 )
 def label_leak_scan(spark, sf_dir):
     """Labelled fields of protected attributes on pages."""
-    found = F.array(*[F.when(F.col("text").rlike(rf"(?i)(?:^|\n) *{p} *: *[^\n]"), F.struct(F.lit(k).alias("attribute"), F.trim(F.regexp_extract("text", rf"(?i)(?:^|\n) *{p} *: *([^\n]{{1,60}})", 2)).alias("found"))) for k, p in T.PROTECTED.items()])
-    return pages(spark, sf_dir, ["text"]).select("page_id", F.inline(F.array_compact(found)))
+    found = F.array(*[F.when(F.col("text").rlike(rf"(?i)(?:^|\n) *{p} *: *[^\n]"), F.struct(F.lit(k).alias("attribute"), F.trim(F.regexp_extract("text", rf"(?i)(?:^|\n) *{p} *: *([^\n]+)", 2)).alias("found"))) for k, p in T.PROTECTED.items()])
+    return pages(spark, sf_dir, x=F.array_compact(found)).select("page_id", F.inline("x"))
 
 
 @R.query("select doc_id, round(coalesce(len(regexp_extract_all(text, '[ء-غف-يٮ-ۓ]')) / nullif(len(regexp_extract_all(text, '\\p{L}')), 0), 0.0), 6) as ratio from documents where text is not null")
@@ -152,10 +164,11 @@ f as (select *, last_value(head ignore nulls) over (partition by page_id order b
 select page_id, coalesce(section, 'top') as section, cast(count(*) as bigint) as lines, cast(sum(length(line)) as bigint) as chars from f where head is null and trim(line, ' ') <> '' group by all""")
 def section_sizes(spark, sf_dir):
     """Lines and characters of the sections of each page: headings fill forward over the lines below them."""
-    lines = pages(spark, sf_dir, ["text"]).where("text is not null").select("page_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    sizes = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), T.section_of(x).alias("head"), (F.trim(x) != "").alias("filled"), F.length(x).cast("long").alias("n")))
+    lines = pages(spark, sf_dir, x=sizes).select("page_id", F.inline("x"))
     w = Window.partitionBy("page_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    filled = lines.withColumn("head", T.section_of(F.col("line"))).withColumn("section", F.last("head", ignorenulls=True).over(w))
-    return filled.where("head is null and trim(line) <> ''").groupBy("page_id", F.coalesce("section", F.lit("top")).alias("section")).agg(F.count("*").alias("lines"), F.sum(F.length("line").cast("long")).alias("chars"))
+    filled = lines.withColumn("section", F.last("head", ignorenulls=True).over(w))
+    return filled.where("head is null and filled").groupBy("page_id", F.coalesce("section", F.lit("top")).alias("section")).agg(F.count("*").alias("lines"), F.sum("n").alias("chars"))
 
 
 _ROLE = r"^[-•* ]*([^,\n(]{2,60}), ([^(\n]{2,60}) \(([^()\n]{3,40}) (?:-|–|to) ([^()\n]{2,40})\)$"
@@ -167,19 +180,19 @@ select page_id, cast(line_no as bigint) as line_no, trim(regexp_extract(line, {_
 from l where regexp_matches(line, {_q(_ROLE)})""")
 def experience_lines(spark, sf_dir):
     """Dated roles as lines of pages give them."""
-    lines = pages(spark, sf_dir, ["text"]).where("text is not null").select("page_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    lines = pages(spark, sf_dir, x=F.filter(_lines(), lambda x: x["line"].rlike(_ROLE))).select("page_id", F.inline("x"))
     part = lambda i: F.trim(F.regexp_extract("line", _ROLE, i))
-    return lines.where(F.col("line").rlike(_ROLE)).select("page_id", (F.col("k") + 1).cast("long").alias("line_no"), part(1).alias("title"), part(2).alias("organization"), part(3).alias("started"), part(4).alias("ended"))
+    return lines.select("page_id", "line_no", part(1).alias("title"), part(2).alias("organization"), part(3).alias("started"), part(4).alias("ended"))
 
 
 @R.query(f"""
 with l as (select page_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from {PAGES} where text is not null)
-select page_id, cast(line_no as bigint) as line_no, cast(greatest({", ".join(f"case when regexp_matches(lower(line), '(^|[^{T.WORD_CLASS}])({p})($|[^{T.WORD_CLASS}])') then {r} end" for _, r, p in T.DEGREES)}) as int) as rank
-from l where regexp_matches(line, '(19|20)[0-9]{{2}}$') and rank is not null""")
+select page_id, cast(line_no as bigint) as line_no, cast(greatest({", ".join(f"case when regexp_matches(lower(line), '(^|[^{T.WORD_CLASS}])({p})($|[^{T.WORD_CLASS}])') then {r} end" for _, r, p in T.DEGREES)}) as int) as rank, try_cast(nullif(regexp_extract(line, '((?:19|20)[0-9]{{2}})$', 1), '') as int) as year
+from l where rank is not null""")
 def education_lines(spark, sf_dir):
-    """Lines that name a degree and end in a year, with the rank of the degree."""
-    lines = pages(spark, sf_dir, ["text"]).where("text is not null").select("page_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    return lines.where(F.col("line").rlike(r"(19|20)[0-9]{2}$")).select("page_id", (F.col("k") + 1).cast("long").alias("line_no"), T.degree_rank(F.col("line")).alias("rank")).where("rank is not null")
+    """Lines that name a degree, with its rank and the year that they end in, if any."""
+    ranked = F.filter(F.transform(_lines(), lambda x: F.struct(x["line_no"].alias("line_no"), T.degree_rank(x["line"]).alias("rank"), F.nullif(F.regexp_extract(x["line"], "((?:19|20)[0-9]{2})$", 1), F.lit("")).cast("int").alias("year"))), lambda x: x["rank"].isNotNull())
+    return pages(spark, sf_dir, x=ranked).select("page_id", F.inline("x"))
 
 
 @R.query(f"""
@@ -190,10 +203,14 @@ s as (select page_id, unnest(regexp_split_to_array(line, '[,،;/|•·]')) as ra
 select page_id, lower(trim(raw, ' ')) as skill, cast(count(*) as bigint) as times from s where length(trim(raw, ' ')) between 1 and 40 group by all""")
 def skill_items(spark, sf_dir):
     """Skills that pages list under their heading."""
-    lines = pages(spark, sf_dir, ["text"]).where("text is not null").select("page_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    w = Window.partitionBy("page_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    filled = lines.withColumn("head", T.section_of(F.col("line"))).withColumn("section", F.last("head", ignorenulls=True).over(w)).where("section = 'skills' and head is null")
-    items = filled.select("page_id", F.explode(F.split("line", "[,،;/|•·]")).alias("raw")).where("length(trim(raw)) between 1 and 40")
+    start = F.struct(F.lit(None).cast("string").alias("section"), F.array().cast("array<string>").alias("raw"))
+
+    def step(acc: Column, line: Column) -> Column:
+        head = T.section_of(line)
+        return F.struct(F.coalesce(head, acc["section"]).alias("section"), F.when(head.isNull() & (acc["section"] == "skills"), F.concat(acc["raw"], F.split(line, "[,،;/|•·]"))).otherwise(acc["raw"]).alias("raw"))
+
+    listed = F.aggregate(F.split("text", "\n"), start, step, lambda acc: acc["raw"])
+    items = pages(spark, sf_dir, x=listed).select("page_id", F.explode("x").alias("raw")).where("length(trim(raw)) between 1 and 40")
     return items.groupBy("page_id", F.lower(F.trim("raw")).alias("skill")).agg(F.count("*").alias("times"))
 
 

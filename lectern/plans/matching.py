@@ -60,65 +60,14 @@ def semantic_best(spark, sf_dir):
     return s.groupBy("name").agg(F.max_by("term_id", F.struct("similarity", -F.col("term_id"))).alias("term_id"), F.max("similarity").alias("similarity"))
 
 
-_REQUEST = 1
 _CASE = """case
   when rtype = 'years' and years is null then 'unverified' when rtype = 'years' and list_has_any(names, kws) and years >= min_years then 'met' when rtype = 'years' and list_has_any(names, kws) and years >= 0.75 * min_years then 'partial' when rtype = 'years' then 'missing'
   when list_has_any(names, kws) then 'met' when len(list_filter(kws, lambda k: contains(t, k))) > 0 then 'partial' else 'missing' end as verdict"""
-VERDICTS_SQL = f"""
-c as (select profile_id, total_years_experience.value as years, coalesce(list_transform(list_filter(skills, lambda s: s.name is not null), lambda s: lower(s.name)), []) as names, lower(coalesce(full_text, '')) as t from {CURRENT} where extraction.status = 'OK'),
-q as (select distinct req_id, kind, rtype, coalesce(list_transform(keywords, lambda k: lower(k)), []) as kws, min_years from requirements where request_id = {_REQUEST}),
-v as (select profile_id, req_id, kind, {_CASE} from c cross join q)"""
-
-
-def verdicts(spark: SparkSession, sf_dir: str, request_id: int = _REQUEST) -> DataFrame:
-    """Each readable profile against each requirement of one request: met by a listed skill (and years), partial by the text or most of the years, missing, unverified."""
-    keep = {
-        "years": F.col("total_years_experience.value"), "st": F.col("extraction.status"), "t": F.lower(F.coalesce("full_text", F.lit(""))),
-        "names": F.coalesce(F.transform(F.filter("skills", lambda s: s["name"].isNotNull()), lambda s: F.lower(s["name"])), F.array().cast("array<string>")),
-    }
-    c = current_profiles(spark, sf_dir, keep).where("st = 'OK'")
-    q = table(spark, sf_dir, "requirements").where(F.col("request_id") == request_id).select("req_id", "kind", "rtype", F.coalesce(F.transform("keywords", F.lower), F.array().cast("array<string>")).alias("kws"), "min_years").distinct()
-    listed, years = F.arrays_overlap("names", "kws"), F.col("rtype") == "years"
-    verdict = (
-        F.when(years & F.col("years").isNull(), "unverified").when(years & listed & (F.col("years") >= F.col("min_years")), "met").when(years & listed & (F.col("years") >= 0.75 * F.col("min_years")), "partial").when(years, "missing")
-        .when(listed, "met").when(F.exists("kws", lambda k: F.col("t").contains(k)), "partial").otherwise("missing")
-    )
-    return c.crossJoin(small(q)).select("profile_id", "req_id", "kind", verdict.alias("verdict"))  # one request's requirements: a handful of rows
 
 
 _CREDIT = "case verdict when 'met' then 2 when 'partial' then 1 when 'missing' then 0 end * case when kind = 'required' then 5 else 2 end"
 
 
-@R.query(f"""with {VERDICTS_SQL},
-s as (select profile_id, sum({_CREDIT}) as got, sum(case when verdict <> 'unverified' then 2 * case when kind = 'required' then 5 else 2 end end) as possible, count_if(verdict = 'met') as met, count_if(verdict = 'missing' and kind = 'required') as missing_required from v group by 1),
-z as (select profile_id, cast(round_even(100.0 * got / possible, 0) as bigint) as score, cast(met as bigint) as met, cast(missing_required as bigint) as missing_required from s where possible > 0)
-select *, cast(rank() over (order by score desc) as bigint) as place from z qualify place <= 50""")
-def fit_score_ranked(spark, sf_dir):
-    """Profiles scored against one request and ranked, ties sharing a place, down to place 50; unverified requirements leave both sums."""
-    weight = F.when(F.col("kind") == "required", 5).otherwise(2)
-    credit = F.when(F.col("verdict") == "met", 2).when(F.col("verdict") == "partial", 1).when(F.col("verdict") == "missing", 0)
-    s = verdicts(spark, sf_dir).groupBy("profile_id").agg(
-        F.sum(credit * weight).alias("got"), F.sum(F.when(F.col("verdict") != "unverified", 2 * weight)).alias("possible"), F.count_if(F.col("verdict") == "met").alias("met"), F.count_if(F.expr("verdict = 'missing' and kind = 'required'")).alias("missing_required")
-    )
-    z = s.where("possible > 0").select("profile_id", F.bround(100.0 * F.col("got") / F.col("possible"), 0).cast("long").alias("score"), "met", "missing_required")
-    # The place of a score is one more than the number of better rows: counted by score (101 values at most), not by sorting all rows in one task.
-    better = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    places = z.groupBy("score").count().withColumn("place", F.coalesce(F.sum("count").over(better), F.lit(0)) + 1).drop("count")
-    return z.join(F.broadcast(places), "score").where("place <= 50").select("profile_id", "score", "met", "missing_required", "place")
-
-
-@R.query(f"with {VERDICTS_SQL} select req_id, verdict, cast(count(*) as bigint) as n from v group by all")
-def verdict_matrix(spark, sf_dir):
-    """How often each requirement of one request gets each verdict."""
-    return verdicts(spark, sf_dir).groupBy("req_id", "verdict").agg(F.count("*").alias("n"))
-
-
-@R.query(f"with {VERDICTS_SQL} select req_id, cast(count(*) as bigint) as n from v where verdict = 'missing' group by 1 order by n desc, req_id limit 3")
-def gap_counts(spark, sf_dir):
-    """The three requirements that most profiles miss."""
-    return verdicts(spark, sf_dir).where("verdict = 'missing'").groupBy("req_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "req_id").limit(3)
-
-
 REQUESTS_SQL = f"""
 c as (select profile_id, chat_id, total_years_experience.value as years, coalesce(list_transform(list_filter(skills, lambda s: s.name is not null), lambda s: lower(s.name)), []) as names, lower(coalesce(full_text, '')) as t from {CURRENT} where extraction.status = 'OK'),
 o as (select request_id, chat_id from score_requests where request_id is not null qualify row_number() over (partition by request_id order by ingested_at desc nulls last) = 1),

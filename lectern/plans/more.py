@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators.ranking import numbered
 from lectern.operators.resolve import absorb
 from lectern.plans.anchors import SQL as ANCHOR_SQL
 from lectern.plans.anchors import quote_verify
-from lectern.plans.matching import REQUESTS_SQL, VERDICTS_SQL, request_pairs, verdicts
+from lectern.plans.matching import REQUESTS_SQL, request_pairs
 from lectern.plans.registry import CURRENT, PAGES, Registry
 from lectern.plans.relational import contact_key_edges
 from lectern.sources.shared import small
@@ -32,8 +32,8 @@ p as (select profile_id, count(*) as pages from m group by 1), d as (select prof
 select p.profile_id, cast(p.pages as bigint) as pages, cast(coalesce(d.emails, 0) as bigint) as emails, coalesce(d.emails, 0) > 1 and p.pages > 1 as several from p left join d using (profile_id)""")
 def several_people(spark, sf_dir):
     """Profiles of more than one page with more than one address: the file may hold several people."""
-    p = latest(table(spark, sf_dir, "cv_pages"), "page_id", ["ingested_at"], ["profile_id", "text"]).where("profile_id is not null")
-    found = p.select("profile_id", "page_id", F.explode_outer(T.emails(F.col("text"))).alias("x"))
+    p = latest(table(spark, sf_dir, "cv_pages"), "page_id", ["ingested_at"], {"profile_id": F.col("profile_id"), "e": T.emails(F.col("text"))}).where("profile_id is not null")
+    found = p.select("profile_id", "page_id", F.explode_outer("e").alias("x"))
     g = found.groupBy("profile_id").agg(F.countDistinct("page_id").alias("pages"), F.countDistinct("x").alias("emails"))
     return g.select("*", ((F.col("emails") > 1) & (F.col("pages") > 1)).alias("several"))
 
@@ -59,8 +59,7 @@ def evidence_pages(spark, sf_dir):
 def candidate_numbers(spark, sf_dir):
     """Numbers of profiles in their session; three digits at least."""
     c = current_profiles(spark, sf_dir, ["chat_id", "display_no"]).where("chat_id is not null")
-    k = F.row_number().over(Window.partitionBy("chat_id").orderBy("display_no", "profile_id")).cast("string")
-    return c.withColumn("k", k).select("chat_id", "profile_id", F.concat(F.lit("c_"), F.expr("lpad(k, greatest(3, length(k)), '0')")).alias("candidate"))
+    return numbered(c, "chat_id", [F.col("display_no").asc_nulls_last(), F.col("profile_id").asc()], "place").withColumn("k", F.col("place").cast("string")).select("chat_id", "profile_id", F.concat(F.lit("c_"), F.expr("lpad(k, greatest(3, length(k)), '0')")).alias("candidate"))
 
 
 @R.query()
@@ -89,12 +88,13 @@ def same_name_same_skills(spark, sf_dir):
 
 
 @R.query(f"""
-with q as (select profile_id, page, count(*) as quotes from (select profile_id, unnest(skills).evidence.page as page from {CURRENT}) where page is not null group by all),
+with q as (select profile_id, page, count(*) as quotes from (select profile_id, unnest(skills).evidence.page as page from {CURRENT} union all select profile_id, unnest(experiences).evidence.page from {CURRENT} union all select profile_id, unnest(education).evidence.page from {CURRENT}) where page is not null group by all),
 p as (select profile_id, page, max(source) as source from {PAGES} group by all)
 select q.profile_id, q.page, cast(q.quotes as bigint) as quotes, coalesce(p.source, 'text') as source from q left join p on q.profile_id = p.profile_id and q.page = p.page""")
 def evidence_sources(spark, sf_dir):
-    """What kind of page the evidence of skills stands on, text where that isn't known."""
-    q = current_profiles(spark, sf_dir, {"p": F.col("skills.evidence.page")}).select("profile_id", F.explode("p").alias("page")).where("page is not null").groupBy("profile_id", "page").agg(F.count("*").alias("quotes"))
+    """What kind of page the evidence of skills, roles and schools stands on, text where that isn't known."""
+    every = F.concat(*[F.coalesce(f"{x}.evidence.page", F.array().cast("array<int>")) for x in ("skills", "experiences", "education")])
+    q = current_profiles(spark, sf_dir, {"p": every}).select("profile_id", F.explode("p").alias("page")).where("page is not null").groupBy("profile_id", "page").agg(F.count("*").alias("quotes"))
     p = latest(table(spark, sf_dir, "cv_pages"), "page_id", ["ingested_at"], ["profile_id", "page", "source"]).groupBy("profile_id", "page").agg(F.max("source").alias("source"))
     return q.join(p, ["profile_id", "page"], "left").na.fill("text", ["source"])
 
@@ -112,11 +112,12 @@ def session_counts(spark, sf_dir):
 @R.query(f"""
 with n as (select profile_id, trim(identity.full_name.value, ' ') as v from {CURRENT} where trim(identity.full_name.value, ' ') <> ''),
 w as (select profile_id, v, unnest(string_split(v, ' ')) as w, generate_subscripts(string_split(v, ' '), 1) as k from n)
-select profile_id, string_agg(case when regexp_full_match(w, '[A-Za-z]+') and (w = upper(w) or w = lower(w)) then upper(left(w, 1)) || lower(w[2:]) else w end, ' ' order by k) as name from w group by profile_id""")
+select profile_id, string_agg(case when w = upper(w) or w = lower(w) then array_to_string(list_transform(regexp_extract_all(w, '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+'), lambda x: upper(left(x, 1)) || lower(x[2:])), '') else w end, ' ' order by k) as name from w group by profile_id""")
 def name_case(spark, sf_dir):
-    """Names with words that are all large or all small in proper case; mixed ones stay."""
+    """Names with words that are all large or all small in proper case, their parts between hyphens and apostrophes too, in any script; mixed ones stay."""
     c = current_profiles(spark, sf_dir, {"v": F.trim("identity.full_name.value")}).where("v <> ''")
-    fix = lambda w: F.when(w.rlike("^[A-Za-z]+$") & ((w == F.upper(w)) | (w == F.lower(w))), F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))).otherwise(w)
+    proper = lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.lower(F.substr(x, F.lit(2))))
+    fix = lambda w: F.when((w == F.upper(w)) | (w == F.lower(w)), F.array_join(F.transform(F.regexp_extract_all(w, F.lit(r"([\p{L}\p{M}]+|[^\p{L}\p{M}]+)"), 1), proper), "")).otherwise(w)
     return c.select("profile_id", F.array_join(F.transform(F.split("v", " "), fix), " ").alias("name"))
 
 
@@ -140,19 +141,12 @@ g as (select * from l where regexp_matches(line, '{_NAME_LINE.replace("'", "''")
 select profile_id, arg_min(line, k * 1000000000 + page_id) as name from g group by 1""")
 def heuristic_name(spark, sf_dir):
     """The first of the eight top lines of a first page that may be a name: two to four words, no heading and no job."""
-    p = latest(table(spark, sf_dir, "cv_pages"), "page_id", ["ingested_at"], ["profile_id", "page", "text"]).where("page = 1 and text is not null and profile_id is not null")
+    p = table(spark, sf_dir, "cv_pages").where("page_id is not null and page = 1 and text is not null and profile_id is not null")
     lines = p.select("profile_id", "page_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 8)).alias("k", "line"))
     good = lines.where(F.col("line").rlike(_NAME_LINE) & ~F.lower("line").rlike(_NOT_NAMES) & F.length("line").between(3, 60))
     return good.groupBy("profile_id").agg(F.min_by("line", F.struct("k", "page_id")).alias("name"))
 
 
-@R.query(f"with {VERDICTS_SQL} select profile_id, string_agg(case when verdict = 'met' then req_id end, ',' order by req_id) as met, string_agg(case when verdict = 'missing' and kind = 'required' then req_id end, ',' order by req_id) as missing_required, string_agg(case when verdict = 'unverified' then req_id end, ',' order by req_id) as unverified from v group by 1")
-def verdict_lists(spark, sf_dir):
-    """Which requirements of one request each profile meets, misses and leaves open, as lists."""
-    some = lambda cond: F.nullif(F.array_join(F.array_sort(F.collect_list(F.when(F.expr(cond), F.col("req_id")))), ","), F.lit(""))
-    return verdicts(spark, sf_dir).groupBy("profile_id").agg(some("verdict = 'met'").alias("met"), some("verdict = 'missing' and kind = 'required'").alias("missing_required"), some("verdict = 'unverified'").alias("unverified"))
-
-
 @R.query(f"with {REQUESTS_SQL} select request_id, profile_id, string_agg(case when verdict = 'met' then req_id end, ',' order by req_id) as met, string_agg(case when verdict = 'missing' and kind = 'required' then req_id end, ',' order by req_id) as missing_required, string_agg(case when verdict = 'unverified' then req_id end, ',' order by req_id) as unverified from v group by all")
 def verdict_lists_requests(spark, sf_dir):
     """Which requirements of every request each profile of its session meets, misses and leaves open, as lists."""

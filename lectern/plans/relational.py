@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.dates import ascii_digits
+from lectern.operators.ranking import numbered
 from lectern.plans.registry import CURRENT, PAGES, Registry
+from lectern.sources.shared import small
 from lectern.sources.tables import current_profiles, latest, table
 
 R = Registry()
@@ -147,22 +149,22 @@ def top_degrees(spark, sf_dir):
 def competition_rank(spark, sf_dir):
     """Places of suppliers by balance in hundreds, shared by ties, and their order inside a tie.
 
-    How many are before a score is counted by score, of which there are few; only ties are sorted, each by itself, never all rows in one task.
+    How many are before a score is counted by score; the order of the lines is numbered in parts, never all rows in one task.
     """
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.round(F.col("s_acctbal") / 100).alias("score"))
     before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     places = s.groupBy("score").agg(F.count("*").alias("n")).select("score", "n", before.alias("before"))
-    inside = F.row_number().over(Window.partitionBy("score").orderBy("s_nationkey", "s_suppkey"))
-    return s.join(F.broadcast(places), "score").select("s_suppkey", (F.col("before") + 1).alias("place"), (F.col("n") > 1).alias("tied"), (F.col("before") + inside).alias("line"))
+    lines = numbered(s, None, [F.desc("score"), F.asc("s_nationkey"), F.asc("s_suppkey")], "line")
+    return lines.join(small(places), "score").select("s_suppkey", (F.col("before") + 1).alias("place"), (F.col("n") > 1).alias("tied"), "line")
 
 
 @R.query(f"""
-select chat_id, profile_id, row_number() over (partition by chat_id order by total_years_experience.value desc nulls last, display_no, profile_id) as place from {CURRENT} where extraction.status = 'OK' and chat_id is not null qualify place <= 10""")
+select chat_id, profile_id, row_number() over (partition by chat_id order by total_years_experience.value desc nulls last, display_no, profile_id) as place from {CURRENT} where extraction.status = 'OK' and chat_id is not null""")
 def screening_rank(spark, sf_dir):
-    """The ten most experienced profiles of each session; ranked groups are cut before they are sorted as wholes."""
+    """The profiles of each session, the most experienced first; a large session is numbered in parts."""
     c = current_profiles(spark, sf_dir, {"chat_id": F.col("chat_id"), "st": F.col("extraction.status"), "y": F.col("total_years_experience.value"), "display_no": F.col("display_no")}).where("st = 'OK' and chat_id is not null")
-    w = Window.partitionBy("chat_id").orderBy(F.desc_nulls_last("y"), "display_no", "profile_id")
-    return c.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 10").select("chat_id", "profile_id", "place")
+    order = [F.desc_nulls_last("y"), F.col("display_no").asc_nulls_last(), F.col("profile_id").asc()]
+    return numbered(c, "chat_id", order, "place").select("chat_id", "profile_id", "place")
 
 
 @R.query("select o_custkey, o_orderkey, cast(row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as bigint) as place from orders qualify place <= 3")

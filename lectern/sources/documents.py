@@ -53,22 +53,29 @@ def archive_members(content: bytes | None, most: int = MAX_MEMBERS) -> list[tupl
     return out
 
 
-def expand(files: DataFrame, most: int = MAX_FILES) -> DataFrame:
-    """(name, content, hash, kind, container) of the supported files, archives replaced by their members; the first ``most`` by container and name."""
-    shape = "name string, content binary, hash string, container string"
+def expand(files: DataFrame, most: int = MAX_FILES, batch: str | None = None) -> DataFrame:
+    """(name, content, hash, kind, container) of the supported files, archives replaced by their members; the first ``most`` by container and name of each batch.
+
+    batch: the column that says which upload a file came with (a string, kept in the result); without one all files are one upload.
+    """
+    files = files.withColumn("_batch", F.col(batch) if batch else F.lit(None).cast("string"))
+    shape = "name string, content binary, hash string, container string, _batch string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for b in batches:
-            rows = [(n, c, hashlib.sha256(c).hexdigest(), z) for z, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for n, c in archive_members(content)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.string(), pa.binary(), pa.string(), pa.string()), strict=True)], names=["name", "content", "hash", "container"])
+            rows = [(n, c, hashlib.sha256(c).hexdigest(), z, u) for z, content, u in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) for n, c in archive_members(content)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.string(), pa.binary(), pa.string(), pa.string(), pa.string()), strict=True)], names=["name", "content", "hash", "container", "_batch"])
 
     zips = F.lower("name").endswith(".zip")
-    inside = files.where(zips).select("name", "content").mapInArrow(run, shape)
-    every = files.where(~zips).select("name", "content", "hash", "container").unionByName(inside).withColumn("kind", file_kind(F.col("name"))).where("kind <> 'unsupported'")
-    keys = every.select("container", "name", "hash").orderBy(F.asc_nulls_first("container"), "name", "hash").limit(most)
-    return every.join(F.broadcast(keys), every["name"].eqNullSafe(keys["name"]) & every["container"].eqNullSafe(keys["container"]) & (every["hash"] == keys["hash"]), "left_semi")
+    inside = files.where(zips).select("name", "content", "_batch").mapInArrow(run, shape)
+    every = files.where(~zips).select("name", "content", "hash", "container", "_batch").unionByName(inside).withColumn("kind", file_kind(F.col("name"))).where("kind <> 'unsupported'")
+    # Contents stay where they are: keys are cut by batch, rank by rank, and those kept are joined.
+    first = Window.partitionBy("_batch").orderBy(F.asc_nulls_first("container"), "name", "hash")
+    keys = every.select("_batch", "container", "name", "hash").distinct().withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= most).select(F.col("_batch").alias("kb"), F.col("container").alias("kc"), F.col("name").alias("kn"), F.col("hash").alias("kh"))
+    kept = every.join(keys, F.col("_batch").eqNullSafe(F.col("kb")) & F.col("container").eqNullSafe(F.col("kc")) & (F.col("name") == F.col("kn")) & (F.col("hash") == F.col("kh")), "left_semi")
+    return kept.withColumnRenamed("_batch", batch) if batch else kept.drop("_batch")
 
 
 def docx_text(content: bytes | None) -> str:
@@ -99,7 +106,7 @@ def docx_pages(files: DataFrame) -> DataFrame:
 
 def columns_of_words(words: list[tuple[float, float, float, float, str]], width: float, rtl: bool = False) -> list[list[tuple]]:
     """Words (x0, x1, top, bottom, text) of a page as one or two columns: split at the widest gap of at least 16 points inside 15-85 % of the width, if there are 40 words,
-    each side has 12 % of them, at most 10 % straddle it and the sides overlap by 35 % of the height. Right-to-left pages are read from the right."""
+    each side has 12 % of them, at most 10 % straddle it and the sides overlap by 35 % of the shorter one's height. Right-to-left pages are read from the right."""
     one = [sorted(words, key=lambda w: (round(w[2]), w[0]))]
     if len(words) < 40:
         return one
@@ -121,8 +128,8 @@ def columns_of_words(words: list[tuple[float, float, float, float, str]], width:
         return one
     left, right = [w for w in words if (w[0] + w[1]) / 2 < at], [w for w in words if (w[0] + w[1]) / 2 >= at]
     overlap = min(max(w[3] for w in left), max(w[3] for w in right)) - max(min(w[2] for w in left), min(w[2] for w in right)) if left and right else 0
-    height = max(w[3] for w in words) - min(w[2] for w in words)
-    if min(len(left), len(right)) < 0.12 * len(words) or overlap < 0.35 * height:
+    shorter = min(max(w[3] for w in s) - min(w[2] for w in s) for s in (left, right)) if left and right else 0
+    if min(len(left), len(right)) < 0.12 * len(words) or shorter <= 0 or overlap < 0.35 * shorter:
         return one
     sides = [sorted(s, key=lambda w: (round(w[2]), w[0])) for s in (left, right)]
     return sides[::-1] if rtl else sides
@@ -136,10 +143,27 @@ def needs_ocr(text: Column, images: Column, mode: str = "auto", least: int = 20)
     return (n < least) | (n < 15) & (images > 0)
 
 
-def choose_source(text: Column, ocr: Column, confidence: Column) -> Column:
-    """(text, source, ocr_confidence): the recognised text where it is longer than the page's own, else the page's own."""
-    own, seen = F.length(F.trim(F.coalesce(text, F.lit("")))), F.length(F.trim(F.coalesce(ocr, F.lit(""))))
-    return F.when(seen > own, F.struct(ocr.alias("text"), F.lit("ocr").alias("source"), confidence.alias("ocr_confidence"))).otherwise(F.struct(F.coalesce(text, F.lit("")).alias("text"), F.lit("text").alias("source"), F.lit(None).cast("double").alias("ocr_confidence")))
+def choose_source(text: Column, ocr: Column, confidence: Column, mode: str = "auto", least: int = 20) -> Column:
+    """(text, source, ocr_confidence): the recognised text where there is any and the page's own is too short or reading is forced; else the page's own.
+
+    A page that has no text of its own and was read in vain (ocr isn't null) stays a scan with an empty text.
+    """
+    own, seen = F.trim(F.coalesce(text, F.lit(""))), F.trim(F.coalesce(ocr, F.lit("")))
+    one = lambda t, s, c: F.struct(t.alias("text"), F.lit(s).alias("source"), c.cast("double").alias("ocr_confidence"))
+    thin = F.lit(mode == "force") | (F.length(own) < least)
+    return F.when((seen != "") & thin, one(seen, "ocr", F.round(confidence, 1))).when((own != "") | ocr.isNull(), one(own, "text", F.lit(None))).otherwise(one(own, "ocr", F.round(confidence, 1)))
+
+
+def replace_rescued(text: Column, transcription: Column, least: int = 40) -> Column:
+    """The text of a page that a stronger reader saw: its transcription, if that has at least so many characters."""
+    return F.when(F.length(F.trim(transcription)) >= least, F.trim(transcription)).otherwise(text)
+
+
+def best_variant(readings: DataFrame, key: list[str]) -> DataFrame:
+    """Of several readings of a page (words, confidence, text), the one with the most words times confidence; ties go to the variant that comes first by name."""
+    score = F.coalesce(F.col("words") * F.col("confidence") / 100, F.lit(0.0))
+    best = F.min_by(F.struct("variant", "text", "confidence"), F.struct((-score).alias("s"), F.col("variant")))
+    return readings.groupBy(*key).agg(best.alias("x")).select(*key, "x.*")
 
 
 def rescue_pages(pages: DataFrame, doc: str, most: int = 6) -> DataFrame:

@@ -28,8 +28,10 @@ def retain(log: DataFrame, key: str, order: list[str], most: int = 50) -> DataFr
     return log.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
 
 
-def markdown(df: DataFrame, columns: list[str], title: str) -> str:
-    """A small table (a report of top rows) as Markdown; cells are cut off at no place, bars in them are escaped, nulls are dashes."""
+def markdown(df: DataFrame, columns: list[str], title: str, most: int = 1_000) -> str:
+    """A table of at most ``most`` rows as Markdown; bars in cells are escaped, nulls are dashes. A larger table is no report: it raises an error and is to be written as a file."""
     cell = lambda c: F.coalesce(F.replace(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")), F.lit("–"))
-    rows = [r.line for r in df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |")).alias("line")).collect()]
+    rows = [r.line for r in df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |")).alias("line")).limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"a report has at most {most} rows")
     return "\n".join([f"## {title}", "", "| " + " | ".join(columns) + " |", "|" + "|".join("---" for _ in columns) + "|", *rows]) + "\n"

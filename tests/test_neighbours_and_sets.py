@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lectern.operators.neighbours import cosine_top_k
 from lectern.operators.similar_sets import similar_texts
@@ -51,3 +52,25 @@ def test_similar_texts_against_brute_force(spark, rows):
     links = {i: sum(1 for j in reps if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in reps}
     assert got == {i: (rep[key[i]], sum(1 for k in key.values() if k == key[i]), links.get(rep[key[i]], 0)) for i in key}
     assert rows(similar_texts(df.limit(0), "doc_id", "text")) == []
+
+
+def test_odd_lengths_hide_no_neighbour(spark):
+    data = [(i, [float(i), 1.0]) for i in range(1, 30)] + [(40, [1.0, 2.0, 3.0]), (41, [0.0, 0.0])]
+    df = spark.createDataFrame(data, "id bigint, v array<double>")
+    got = cosine_top_k(df, df, "id", "v", 30).collect()
+    near = {(r.query, r.neighbour): r.cosine for r in got}
+    assert near[5, 6] > 0.99 and near[40, 5] == 0 and near[41, 5] == 0 and near[5, 40] == 0
+    assert [r.neighbour for r in sorted(got, key=lambda r: r.place) if r.query == 40][:3] == [1, 2, 3]
+
+
+def test_numbering_in_parts(spark):
+    from lectern.operators.ranking import numbered
+
+    df = spark.createDataFrame([(None if i % 7 == 0 else "hot" if i % 3 else f"g{i % 5}", (i * 37) % 101, i) for i in range(400)], "g string, x int, i bigint").repartition(5)
+    got = numbered(df, "g", [F.desc("x"), F.asc("i")], "place").collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.g, []).append((r.place, -r.x, r.i))
+    for rows in groups.values():
+        assert [p for p, *_ in sorted(rows)] == list(range(1, len(rows) + 1)) and [x[1:] for x in sorted(rows)] == sorted(x[1:] for x in rows)
+    assert sorted(r.place for r in numbered(df, None, [F.asc("i")], "place").collect()) == list(range(1, 401)) and numbered(df.limit(0), "g", [F.asc("i")], "place").count() == 0

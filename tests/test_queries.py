@@ -37,7 +37,7 @@ def test_results_do_not_depend_on_partitions(spark, rows):
         got = []
         for n in ("1", "7"):
             spark.conf.set("spark.sql.shuffle.partitions", n)
-            got.append([rows(catalog.QUERIES[q](spark, str(DATA))) for q in ("fit_score_ranked", "p6_found", "group_rates", "text_budget")])
+            got.append([rows(catalog.QUERIES[q](spark, str(DATA))) for q in ("fit_score_requests", "p6_found", "group_rates", "text_budget", "screening_rank")])
         assert got[0] == got[1]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -50,7 +50,28 @@ def test_columns_of_words():
 def test_sources_of_pages(spark, rows):
     df = spark.createDataFrame([("", "seen text", 80.0, 1), ("own text is longer", "short", 70.0, 0), (None, None, None, 0)], "t string, o string, c double, n int")
     assert rows(df.select(D.needs_ocr(F.col("t"), F.col("n")))) == [(True,), (True,), (True,)]
-    assert [r[0].source for r in df.select(D.choose_source(F.col("t"), F.col("o"), F.col("c"))).collect()] == ["ocr", "text", "text"]
+    assert [r[0].source for r in df.select(D.choose_source(F.col("t"), F.col("o"), F.col("c"))).collect()] == ["ocr", "ocr", "text"]
+    long = "a layer of text that is long enough"
+    cases = spark.createDataFrame([(0, long, long * 3, 90.04), (1, "thin", "what the picture says", 81.26), (2, "thin", " ", 12.0), (3, " ", "", 30.0), (4, None, None, None)], "k int, t string, o string, c double")
+    chosen = lambda mode: [tuple(r[1]) for r in cases.select("k", D.choose_source(F.col("t"), F.col("o"), F.col("c"), mode)).orderBy("k").collect()]
+    assert chosen("auto") == [(long, "text", None), ("what the picture says", "ocr", 81.3), ("thin", "text", None), ("", "ocr", 30.0), ("", "text", None)]
+    assert chosen("force")[0] == (long * 3, "ocr", 90.0)
+    seen = spark.createDataFrame([(1, "old", " x" * 30), (2, "old", "too short"), (3, "old", None)], "k int, t string, v string")
+    assert [r[0][:3] for r in seen.orderBy("k").select(D.replace_rescued(F.col("t"), F.col("v"))).collect()] == ["x x", "old", "old"]
+    readings = spark.createDataFrame([(1, "a", 10, 50.0, "A"), (1, "b", 20, 40.0, "B"), (1, "c", 8, 100.0, "C"), (2, "a", None, None, "")], "page int, variant string, words int, confidence double, text string")
+    assert rows(D.best_variant(readings, ["page"]).select("page", "text")) == [(1, "B"), (2, "")]
+
+
+def test_short_second_column_is_seen():
+    left = [(10.0, 60.0, 10.0 * i, 10.0 * i + 8, f"l{i}") for i in range(60)]
+    right = [(120.0, 170.0, 10.0 * i, 10.0 * i + 8, f"r{i}") for i in range(12)]
+    assert len(D.columns_of_words(left + right, 200.0)) == 2
+
+
+def test_limit_of_files_by_batch(spark):
+    data = [(f"{k:02}.pdf", b"x", str(k), None, b) for b in ("one", "two") for k in range(5)]
+    files = spark.createDataFrame(data, "name string, content binary, hash string, container string, upload string")
+    assert D.expand(files, 3).count() <= 6 and {(r.upload, r["count"]) for r in D.expand(files, 3, "upload").groupBy("upload").count().collect()} == {("one", 3), ("two", 3)}
     pages = spark.createDataFrame([(1, p, "ocr", 50.0, "x" * 50) for p in range(40)], "d int, page int, source string, ocr_confidence double, text string")
     assert D.rescue_pages(pages, "d").count() == 6 and D.truncate_pages(pages, "d").count() == 30
 
