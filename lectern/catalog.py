@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.plans import anchors, matching, more, records, records_sql, relational
+from lectern.plans import anchors, jobs, matching, more, records, records_sql, relational
 
-QUERIES = {**records.QUERIES, **anchors.QUERIES, **relational.QUERIES, **matching.QUERIES, **more.QUERIES}
-SQL = {**records_sql.SQL, **anchors.SQL, **relational.SQL, **matching.SQL, **more.SQL}
+QUERIES = {**records.QUERIES, **anchors.QUERIES, **relational.QUERIES, **matching.QUERIES, **more.QUERIES, **jobs.QUERIES}
+SQL = {**records_sql.SQL, **anchors.SQL, **relational.SQL, **matching.SQL, **more.SQL, **jobs.SQL}

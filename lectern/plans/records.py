@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.dates import month_label, parse_month
@@ -25,6 +25,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.where("present").select(F.lit("profile").alias("origin"), *cols).unionByName(replies.where("present").select(F.lit("reply").alias("origin"), *cols))
 
 
+def role_months(experiences: Column, title: bool = False) -> Column:
+    """Roles as months counted from year 0: structs of s and e, null where they can't be read; with the title in small letters."""
+    month = lambda x, end: parse_month(x, end=end, today=TODAY)
+    named = lambda r: [F.lower(F.coalesce(r["title"], F.lit(""))).alias("title")] if title else []
+    return F.transform(experiences, lambda r: F.struct(month(r["start"], False).alias("s"), month(r["end"], True).alias("e"), *named(r)))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periods of employment and the gaps between them, by profile."""
     month = lambda x, end: parse_month(x, end=end, today=TODAY)
