@@ -103,4 +103,11 @@ identities as (select origin, id, json_extract(j, '$.identity') as i from record
 {_tagged()}
 """
 
-SQL = {"p3_found": P3, "p6_found": P6}
+_NOT_BLANK = lambda *cs: " or ".join(f"trim(coalesce(x.{c}, '')) <> ''" for c in cs)
+_ITEMS = [("experiences", "title", ("title", "organization", '"start"', '"end"')), ("education", "degree", ("degree", "field", "institution", '"year"')), ("skills", "name", ("name", "source"))]
+P3_EVIDENCE = "with cur as (select profile_id, experiences, education, skills from profiles where profile_id is not null qualify row_number() over (partition by profile_id order by revision desc nulls last, ingested_at desc nulls last) = 1) " + " union all ".join(
+    f"select record_id, '{t}' as path, cast(pos as int) as pos, x.{n} as item, x.evidence.page as page, x.evidence.quote as quote from (select profile_id as record_id, unnest({t}) as x, generate_subscripts({t}, 1) as pos from cur) where ({_NOT_BLANK(*cs)}) and (x.evidence.page is not null or trim(coalesce(x.evidence.quote, '')) <> '')"
+    for t, n, cs in _ITEMS
+)
+
+SQL = {"p3_found": P3, "p3_evidence": P3_EVIDENCE, "p6_found": P6}
