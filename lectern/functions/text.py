@@ -50,11 +50,19 @@ SECTIONS = {
 }
 # Reason codes and what they say.
 REASONS = {
-    "UNREADABLE_FILE": "the file could not be read", "NO_IDENTITY_ANCHOR": "no contact was found", "LOW_OCR_CONFIDENCE": "the scan is hard to read", "SPARSE_TEXT": "there is little text", "SPARSE_EXTRACTION": "few fields were found",
+    "UNREADABLE_FILE": "nothing in the file can be read", "NO_IDENTITY_ANCHOR": "no contact was found", "LOW_OCR_CONFIDENCE": "the scan is hard to read", "SPARSE_TEXT": "there is little text", "SPARSE_EXTRACTION": "few fields were found",
     "MULTIPLE_CVS_IN_FILE": "the file may hold several people", "INJECTION_SUSPECTED": "the text speaks to the reader's software",
+    "LLM_UNAVAILABLE": "no model was there to read it", "DUPLICATE": "the same document came before", "CONFLICTING_VERSIONS": "another version says otherwise",
 }
 
 
+# The same in Arabic.
+REASONS_AR = {
+    "UNREADABLE_FILE": "لا يمكن قراءة شيء في الملف", "NO_IDENTITY_ANCHOR": "لم يعثر على وسيلة اتصال", "LOW_OCR_CONFIDENCE": "النسخة الممسوحة صعبة القراءة", "SPARSE_TEXT": "النص قليل", "SPARSE_EXTRACTION": "حقول قليلة وجدت",
+    "MULTIPLE_CVS_IN_FILE": "قد يضم الملف عدة أشخاص", "INJECTION_SUSPECTED": "النص يخاطب برنامج القارئ", "LLM_UNAVAILABLE": "لم يتوفر نموذج للقراءة", "DUPLICATE": "وصل المستند نفسه من قبل", "CONFLICTING_VERSIONS": "نسخة أخرى تقول غير ذلك",
+}
+
+
 def norm(c: Column) -> Column:
     """White space collapsed, trimmed, small letters."""
     return F.lower(F.trim(F.regexp_replace(c, r"[ \t\n\r\f]+", " ")))
@@ -174,9 +182,9 @@ def file_kind(name: Column) -> Column:
     return F.when(low.rlike(r"\.pdf$"), "pdf").when(low.rlike(r"\.docx$"), "docx").when(low.rlike(r"\.(png|jpe?g|tiff?|bmp|webp)$"), "image").otherwise("unsupported")
 
 
-def reason_text(codes: Column) -> Column:
-    """Reason codes as phrases, distinct, joined; a code that isn't known stays."""
-    known = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])
+def reason_text(codes: Column, arabic: bool = False) -> Column:
+    """Reason codes as phrases, in English or Arabic, distinct, joined; a code that isn't known stays."""
+    known = F.create_map(*[F.lit(x) for kv in (REASONS_AR if arabic else REASONS).items() for x in kv])
     return F.array_join(F.array_distinct(F.transform(codes, lambda c: F.coalesce(F.try_element_at(known, c), c))), "; ")
 
 

@@ -214,10 +214,10 @@ def skill_items(spark, sf_dir):
     return items.groupBy("page_id", F.lower(F.trim("raw")).alias("skill")).agg(F.count("*").alias("times"))
 
 
-@R.query(f"select profile_id, array_to_string(list_distinct_ordered, '; ') as reasons from (select profile_id, list_transform(extraction.reasons, lambda c: coalesce(map([{', '.join(map(_q, T.REASONS))}], [{', '.join(map(_q, T.REASONS.values()))}])[c], c)) as list_distinct_ordered from {CURRENT} where len(extraction.reasons) > 0)")
+@R.query(f"select profile_id, array_to_string(en, '; ') as reasons, array_to_string(ar, '; ') as reasons_ar from (select profile_id, list_transform(extraction.reasons, lambda c: coalesce(map([{', '.join(map(_q, T.REASONS))}], [{', '.join(map(_q, T.REASONS.values()))}])[c], c)) as en, list_transform(extraction.reasons, lambda c: coalesce(map([{', '.join(map(_q, T.REASONS_AR))}], [{', '.join(map(_q, T.REASONS_AR.values()))}])[c], c)) as ar from {CURRENT} where len(extraction.reasons) > 0)")
 def reason_phrases(spark, sf_dir):
-    """What the reasons of profiles to be looked at say."""
-    return current_profiles(spark, sf_dir, {"r": F.col("extraction.reasons")}).where("size(r) > 0").select("profile_id", T.reason_text(F.col("r")).alias("reasons"))
+    """What the reasons of profiles to be looked at say, in English and Arabic."""
+    return current_profiles(spark, sf_dir, {"r": F.col("extraction.reasons")}).where("size(r) > 0").select("profile_id", T.reason_text(F.col("r")).alias("reasons"), T.reason_text(F.col("r"), arabic=True).alias("reasons_ar"))
 
 
 @R.query("select chat_id, 's_' || left(sha1(chat_id), 10) as hashed, left(regexp_replace(chat_id, '[^A-Za-z0-9_.:+-]', '_', 'g'), 48) as slug, cast(count(*) as bigint) as n from chat_sessions where chat_id is not null group by all")

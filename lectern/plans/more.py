@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -11,11 +12,15 @@ from lectern.plans.anchors import SQL as ANCHOR_SQL
 from lectern.plans.anchors import quote_verify
 from lectern.plans.matching import REQUESTS_SQL, request_pairs
 from lectern.plans.registry import CURRENT, PAGES, Registry
+from lectern.plans.relational import SQL as RELATIONAL_SQL
 from lectern.plans.relational import contact_key_edges
 from lectern.sources.shared import small
 from lectern.sources.tables import current_profiles, latest, table
 
 R = Registry()
+EDGE_SQL = RELATIONAL_SQL["contact_key_edges"]
+#: Share of words in common from which two profiles are one document.
+CONTENT = 0.8
 
 
 @R.query(f"""
@@ -62,13 +67,69 @@ def candidate_numbers(spark, sf_dir):
     return numbered(c, "chat_id", [F.col("display_no").asc_nulls_last(), F.col("profile_id").asc()], "place").withColumn("k", F.col("place").cast("string")).select("chat_id", "profile_id", F.concat(F.lit("c_"), F.expr("lpad(k, greatest(3, length(k)), '0')")).alias("candidate"))
 
 
-@R.query()
-def dup_resolution(spark, sf_dir):
-    """Profiles that an earlier one with the same rare contact and a common name token takes in."""
+# Duplicates in SQL: nodes are decided in order of their ids, each seeing which earlier ones were taken in.
+DUP_SQL = f"""
+dt as (select profile_id, display_no, chat_id, trim(identity.full_name.value, ' ') as name, list_filter(regexp_split_to_array(lower(coalesce(identity.full_name.value, '')), '[^\\p{{L}}\\p{{M}}]+'), lambda x: length(x) > 1) as t,
+  list_distinct(regexp_extract_all(lower(coalesce(full_text, '')), '[a-z0-9ء-ي]{{2,}}')) as words from {CURRENT}),
+de as (select distinct e.earlier, e.later from ({EDGE_SQL}) e join dt a on a.profile_id = e.earlier join dt b on b.profile_id = e.later where len(a.t) = 0 or len(b.t) = 0 or list_has_any(a.t, b.t)),
+dn as (select row_number() over (order by id) as k, id, ups from (select later as id, list(earlier) as ups from de group by 1)),
+dr as (select cast(0 as bigint) as k, cast([] as bigint[]) as taken, cast(null as bigint) as id, cast(null as bigint) as target
+  union all select dn.k, case when len(list_filter(ups, lambda u: not list_contains(taken, u))) > 0 then list_append(taken, dn.id) else taken end, dn.id, list_min(list_filter(ups, lambda u: not list_contains(taken, u))) from dr join dn on dn.k = dr.k + 1),
+dd as (select id, target, case when len(a.words) = 0 or len(b.words) = 0 or len(list_intersect(a.words, b.words)) >= {CONTENT} * len(list_distinct(list_concat(a.words, b.words))) then 'duplicate' else 'conflict' end as outcome
+  from dr join dt a on a.profile_id = dr.id join dt b on b.profile_id = dr.target where target is not null)"""
+
+
+def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, target, outcome): profiles that an earlier one takes in; a duplicate if their words are alike, else a conflict for a person to resolve."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("full_text", F.lit(""))), F.lit("([a-z0-9ء-ي]{2,})"), 1))
     c = current_profiles(spark, sf_dir, {"t": F.filter(F.split(F.lower(F.coalesce("identity.full_name.value", F.lit(""))), r"[^\p{L}\p{M}]+"), lambda x: F.length(x) > 1)})
     e = contact_key_edges(spark, sf_dir).select("earlier", "later").distinct()
     both = e.join(c.select(F.col("profile_id").alias("earlier"), F.col("t").alias("ta")), "earlier").join(c.select(F.col("profile_id").alias("later"), F.col("t").alias("tb")), "later")
-    return absorb(both.where("size(ta) = 0 or size(tb) = 0 or arrays_overlap(ta, tb)").select("earlier", "later"))
+    taken = absorb(both.where("size(ta) = 0 or size(tb) = 0 or arrays_overlap(ta, tb)").select("earlier", "later"))
+    # Words only of profiles that meet another.
+    w = current_profiles(spark, sf_dir, {"w": words}).join(taken.select(F.explode(F.array("id", "target")).alias("profile_id")).distinct(), "profile_id", "left_semi")
+    met = taken.join(w.select(F.col("profile_id").alias("id"), F.col("w").alias("wa")), "id").join(w.select(F.col("profile_id").alias("target"), F.col("w").alias("wb")), "target")
+    alike = (F.size("wa") == 0) | (F.size("wb") == 0) | (F.size(F.array_intersect("wa", "wb")) >= CONTENT * F.size(F.array_union("wa", "wb")))
+    return met.select("id", "target", F.when(alike, "duplicate").otherwise("conflict").alias("outcome"))
+
+
+@R.query(f"with recursive {DUP_SQL} select id, target, outcome from dd")
+def dup_resolution(spark, sf_dir):
+    """Profiles that an earlier one with the same rare contact and a common name token takes in, as duplicates or, where their words differ, as conflicts."""
+    return duplicates(spark, sf_dir)
+
+
+@R.query(f"with recursive {DUP_SQL} select dd.id, upper(outcome) || ' of #' || coalesce(cast(b.display_no as varchar), '?') || coalesce(' (' || nullif(b.name, '') || ')', '') as label from dd join dt b on b.profile_id = dd.target")
+def dup_labels(spark, sf_dir):
+    """What a duplicate or a conflict is of, in words: the number and name of the profile that took it in."""
+    named = current_profiles(spark, sf_dir, {"display_no": F.col("display_no"), "name": F.trim("identity.full_name.value")}).withColumnRenamed("profile_id", "target")
+    label = F.concat(F.upper("outcome"), F.lit(" of #"), F.coalesce(F.col("display_no").cast("string"), F.lit("?")), F.coalesce(F.concat(F.lit(" ("), F.nullif("name", F.lit("")), F.lit(")")), F.lit("")))
+    return duplicates(spark, sf_dir).join(named, "target").select("id", label.alias("label"))
+
+
+@R.query(f"""
+with recursive {DUP_SQL} select chat_id, case when dd.outcome = 'duplicate' then 'duplicate' when dd.outcome = 'conflict' or st = 'NEEDS_REVIEW' then 'review' when st = 'OK' then 'pool' else 'other' end as lane, cast(count(*) as bigint) as n
+from (select profile_id, chat_id, extraction.status as st from {CURRENT}) c left join dd on dd.id = c.profile_id group by all""")
+def lanes_without_duplicates(spark, sf_dir):
+    """Profiles of each session by lane, duplicates apart and conflicts among those to be looked at."""
+    c = current_profiles(spark, sf_dir, {"chat_id": F.col("chat_id"), "st": F.col("extraction.status")})
+    o, st = F.col("outcome"), F.col("st")
+    lane = F.when(o == "duplicate", "duplicate").when((o == "conflict") | (st == "NEEDS_REVIEW"), "review").when(st == "OK", "pool").otherwise("other")
+    return c.join(duplicates(spark, sf_dir).select(F.col("id").alias("profile_id"), "outcome"), "profile_id", "left").groupBy("chat_id", lane.alias("lane")).agg(F.count("*").alias("n"))
+
+
+_TOP_KEYS = "gender sex age dob date_of_birth birthdate birth_date nationality religion marital marital_status ethnicity race photo".split()  # fixed values: keys of protected attributes
+
+
+@R.query(f"""
+with p as (select distinct reply_id, regexp_replace(trim(payload), '^```[A-Za-z]*\\s*|\\s*```$', '', 'g') as j from model_replies where payload is not null),
+k as (select reply_id, unnest(json_keys(j)) as key from p where json_valid(j) and json_type(j) = 'OBJECT')
+select key, lower(key) in ({', '.join(f"'{k}'" for k in _TOP_KEYS)}) as protected, cast(count(distinct reply_id) as bigint) as replies from k group by all""")
+def reply_keys(spark, sf_dir):
+    """Outermost keys of model replies, with a mark on those that hold protected attributes."""
+    p = latest(table(spark, sf_dir, "model_replies").where("payload is not null"), "reply_id", ["received_at"], {"j": F.regexp_replace(F.trim("payload"), r"(?s)^```[A-Za-z]*\s*|\s*```$", "")})
+    k = p.select("reply_id", F.explode(F.json_object_keys("j")).alias("key"))
+    return k.groupBy("key", F.lower("key").isin(*_TOP_KEYS).alias("protected")).agg(F.countDistinct("reply_id").alias("replies"))
 
 
 @R.query(f"""
@@ -173,12 +234,12 @@ def first_needle(spark, sf_dir):
     return r.join(small(s), F.col("t").contains(F.lower("term"))).groupBy("request_id", "req_id").agg(F.min_by("term", "term_id").alias("term"))
 
 
-@R.query("""
+@R.query(f"""
 with p as (select event_id, unnest(json_keys(props)) as k, props from events where props is not null)
-select k as key, cast(count(*) as bigint) as uses, cast(sum(try_cast(json_extract_string(props, '$.' || k) as double)) as bigint) as total from p where k not in ('age', 'gender', 'religion', 'nationality') group by 1""")
+select k as key, cast(count(*) as bigint) as uses, cast(sum(try_cast(json_extract_string(props, '$.' || k) as double)) as bigint) as total from p where lower(k) not in ({', '.join(f"'{k}'" for k in _TOP_KEYS)}) group by 1""")
 def scrubbed_props(spark, sf_dir):
     """Keys of the events' open fields without protected ones, with the sum of what they hold."""
-    m = F.map_filter(F.from_json("props", "map<string,string>"), lambda k, v: ~k.isin("age", "gender", "religion", "nationality"))
+    m = F.map_filter(F.from_json("props", "map<string,string>"), lambda k, v: ~F.lower(k).isin(*_TOP_KEYS))
     e = table(spark, sf_dir, "events").where("props is not null").select(F.explode(m).alias("key", "v"))
     return e.groupBy("key").agg(F.count("*").alias("uses"), F.sum(F.expr("try_cast(v as double)")).cast("long").alias("total"))
 

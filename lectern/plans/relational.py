@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
 from lectern.functions.dates import ascii_digits
 from lectern.operators.ranking import numbered
 from lectern.plans.registry import CURRENT, PAGES, Registry
@@ -66,18 +67,19 @@ def exclude_weak(spark, sf_dir):
 
 
 @R.query(f"""
-with c as (select profile_id, identity i, experiences x, skills s, education d, length(full_text) as n, extraction e from {CURRENT}),
-k as (select profile_id, n, e, if(trim(coalesce(i.full_name.value, '')) <> '', 20, 0) + if(coalesce(len(list_filter(i.emails, lambda y: trim(y) <> '')), 0) + coalesce(len(list_filter(i.phones, lambda y: trim(y) <> '')), 0) > 0, 20, 0)
+with c as (select profile_id, identity i, experiences x, skills s, education d, length(full_text) as n, extraction e, trim(coalesce(full_text, ''), ' ') = '' as unreadable, len(list_distinct(list_transform(regexp_extract_all(full_text, '{T.EMAIL}'), lambda x: lower(rtrim(x, '.'))))) as mails, source.page_range[1] as first_page, source.page_range[2] as last_page, coalesce(regexp_matches(lower(full_text), '{"|".join(T.INJECTION)}'), false) as injected from {CURRENT}),
+k as (select profile_id, n, e, unreadable, mails, first_page, last_page, injected, if(trim(coalesce(i.full_name.value, '')) <> '', 20, 0) + if(coalesce(len(list_filter(i.emails, lambda y: trim(y) <> '')), 0) + coalesce(len(list_filter(i.phones, lambda y: trim(y) <> '')), 0) > 0, 20, 0)
    + if(coalesce(len(x), 0) > 0, 25, 0) + if(coalesce(len(s), 0) >= 3, 20, if(coalesce(len(s), 0) >= 1, 10, 0)) + if(coalesce(len(d), 0) > 0, 15, 0) as points,
    coalesce(len(list_filter(i.emails, lambda y: trim(y) <> '')), 0) + coalesce(len(list_filter(i.phones, lambda y: trim(y) <> '')), 0) = 0 as unanchored from c)
-select profile_id, cast(points as int) as points, array_to_string(list_filter([case when unanchored then 'NO_IDENTITY_ANCHOR' end, case when e.mean_ocr_confidence < 60 then 'LOW_OCR_CONFIDENCE' end, case when coalesce(n, 0) < 200 then 'SPARSE_TEXT' end, case when points < 40 then 'SPARSE_EXTRACTION' end], lambda r: r is not null), ',') as reasons from k""")
+select profile_id, cast(points as int) as points, array_to_string(case when unreadable then ['UNREADABLE_FILE'] else list_filter([case when unanchored then 'NO_IDENTITY_ANCHOR' end, case when e.mean_ocr_confidence < 60 then 'LOW_OCR_CONFIDENCE' end, case when coalesce(n, 0) < 200 then 'SPARSE_TEXT' end, case when points < 40 then 'SPARSE_EXTRACTION' end, case when mails > 1 and last_page > first_page then 'MULTIPLE_CVS_IN_FILE' end, case when injected then 'INJECTION_SUSPECTED' end], lambda r: r is not null) end, ',') as reasons from k""")
 def text_gating(spark, sf_dir):
     """Coverage points of each profile and the reasons to look at it, in order."""
     filled = lambda c: F.coalesce(F.size(F.filter(c, lambda y: F.trim(y) != "")), F.lit(0))
-    keep = {"name": F.col("identity.full_name.value"), "contacts": F.when(F.col("identity").isNotNull(), F.greatest(filled(F.col("identity.emails")), F.lit(0)) + F.greatest(filled(F.col("identity.phones")), F.lit(0))), "x": F.size("experiences"), "s": F.size("skills"), "d": F.size("education"), "n": F.length("full_text"), "ocr": F.col("extraction.mean_ocr_confidence")}
+    keep = {"name": F.col("identity.full_name.value"), "contacts": F.when(F.col("identity").isNotNull(), F.greatest(filled(F.col("identity.emails")), F.lit(0)) + F.greatest(filled(F.col("identity.phones")), F.lit(0))), "x": F.size("experiences"), "s": F.size("skills"), "d": F.size("education"), "n": F.length("full_text"), "ocr": F.col("extraction.mean_ocr_confidence"), "unreadable": F.trim(F.coalesce("full_text", F.lit(""))) == "", "mails": F.size(T.emails(F.col("full_text"))), "first_page": F.get("source.page_range", F.lit(0)), "last_page": F.get("source.page_range", F.lit(1)), "injected": F.coalesce(F.lower("full_text").rlike("|".join(T.INJECTION)), F.lit(False))}
     c = current_profiles(spark, sf_dir, keep).withColumn("contacts", F.coalesce("contacts", F.lit(0)))
     points = F.expr("if(trim(coalesce(name, '')) <> '', 20, 0) + if(contacts > 0, 20, 0) + if(x > 0, 25, 0) + if(s >= 3, 20, if(s >= 1, 10, 0)) + if(d > 0, 15, 0)")
-    reasons = F.array_compact(F.array(F.expr("if(contacts = 0, 'NO_IDENTITY_ANCHOR', null)"), F.expr("if(ocr < 60, 'LOW_OCR_CONFIDENCE', null)"), F.expr("if(coalesce(n, 0) < 200, 'SPARSE_TEXT', null)"), F.expr("if(points < 40, 'SPARSE_EXTRACTION', null)")))
+    reasons = F.array_compact(F.array(F.expr("if(contacts = 0, 'NO_IDENTITY_ANCHOR', null)"), F.expr("if(ocr < 60, 'LOW_OCR_CONFIDENCE', null)"), F.expr("if(coalesce(n, 0) < 200, 'SPARSE_TEXT', null)"), F.expr("if(points < 40, 'SPARSE_EXTRACTION', null)"), F.expr("if(mails > 1 and last_page > first_page, 'MULTIPLE_CVS_IN_FILE', null)"), F.expr("if(injected, 'INJECTION_SUSPECTED', null)")))
+    reasons = F.when(F.col("unreadable"), F.array(F.lit("UNREADABLE_FILE"))).otherwise(reasons)
     return c.withColumn("points", points).select("profile_id", "points", F.array_join(reasons, ",").alias("reasons"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -175,3 +175,40 @@ def rescue_pages(pages: DataFrame, doc: str, most: int = 6) -> DataFrame:
 def truncate_pages(pages: DataFrame, doc: str, most: int = MAX_PAGES) -> DataFrame:
     """The first pages of each document."""
     return pages.withColumn("_k", F.row_number().over(Window.partitionBy(doc).orderBy("page"))).where(F.col("_k") <= most).drop("_k")
+
+
+_READ = "name string, page int, text string, source string, ocr_confidence double, error string"
+_READ_ARROW = pa.schema([("name", pa.string()), ("page", pa.int32()), ("text", pa.string()), ("source", pa.string()), ("ocr_confidence", pa.float64()), ("error", pa.string())])
+
+
+def acquire(files: DataFrame, readers: dict[str, Callable[[bytes], list[tuple[str, str, float | None]]]] | None = None) -> DataFrame:
+    """(name, page, text, source, ocr_confidence, error) of files of all kinds: a row for each page, or one row with an error for a file that can't be read, so that the batch goes on.
+
+    readers: by kind (pdf, image, docx), a function from the content to (text, source, confidence) of its pages; word-processor files have one already. A kind without a reader, an
+    empty content and whatever a reader raises become errors.
+    """
+    by_kind = {"docx": lambda content: [(docx_text(content), "text", None)], **(readers or {})}
+
+    def one(name: str, kind: str, content: bytes | None) -> list[tuple]:
+        if kind not in by_kind:
+            return [(name, None, None, None, None, f"no reader for {kind}")]
+        try:
+            pages = by_kind[kind](content or b"")
+        except Exception as e:  # noqa: BLE001  # a reader may raise anything, and a file must not end the batch
+            return [(name, None, None, None, None, f"{type(e).__name__}: {e}"[:200])]
+        if not any(t.strip() for t, _, _ in pages):
+            return [(name, None, None, None, None, "no text")]
+        return [(name, k, t, s, c, None) for k, (t, s, c) in enumerate(pages, 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                rows = one(*row)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _READ_ARROW, strict=True)], schema=_READ_ARROW)
+
+    return files.select("name", "kind", "content").mapInArrow(run, _READ)
+
+
+def error_profiles(acquired: DataFrame) -> DataFrame:
+    """(file, status, reasons, error) for the files that couldn't be read: profiles to be looked at, without content."""
+    return acquired.where("error is not null").select(F.col("name").alias("file"), F.lit("NEEDS_REVIEW").alias("status"), F.array(F.lit("UNREADABLE_FILE")).alias("reasons"), "error")

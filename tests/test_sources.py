@@ -99,3 +99,24 @@ def test_broadcast_only_what_is_small(spark):
 
     plan = lambda df: df._jdf.queryExecution().logical().toString()
     assert "broadcast" in plan(small(spark.range(10), 10)) and "broadcast" not in plan(small(spark.range(11), 10))
+
+
+def test_one_bad_file_does_not_end_a_batch(spark, rows):
+    files = spark.createDataFrame([("a.pdf", "pdf", b"one\x0ctwo"), ("b.pdf", "pdf", b"bad"), ("c.png", "image", b"x"), ("d.docx", "docx", b"not a zip"), ("e.pdf", "pdf", None)], "name string, kind string, content binary")
+
+    def pdf(content):
+        if content == b"bad":
+            raise RuntimeError("broken")
+        return [(t, "text", None) for t in content.decode().split("\x0c")]
+
+    got = D.acquire(files, {"pdf": pdf})
+    assert rows(got.where("error is null").select("name", "page", "text")) == [("a.pdf", 1, "one"), ("a.pdf", 2, "two")]
+    assert rows(got.where("error is not null").select("name", "error")) == [("b.pdf", "RuntimeError: broken"), ("c.png", "no reader for image"), ("d.docx", "no text"), ("e.pdf", "no text")]
+    assert D.error_profiles(got).count() == 4 and D.error_profiles(got).first().reasons == ["UNREADABLE_FILE"]
+
+
+def test_reports_are_small(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        S.markdown(spark.range(30), ["id"], "t", most=20)
