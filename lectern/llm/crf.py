@@ -200,14 +200,15 @@ class Crf:
         p /= np.maximum(p.sum(axis=2, keepdims=True), 1e-30)
         return p, pair, p[:, 0].sum(axis=0)
 
-    def _vector(self, w: str) -> np.ndarray:
-        return self.weights[self.features(w)].sum(axis=0)
+    def _entry(self, w: str) -> tuple[np.ndarray, int]:
+        """What a token says of the labels of the places around it, and its rough kind."""
+        return self.weights[self.features(w)].sum(axis=0), rough_kind(w, self.vocabulary.__contains__)
 
     def decode(self, sequences: list[list[str]], batch: int = 256) -> list[np.ndarray]:
         """The best labels of each sequence (places in ``labels``), by Viterbi over batches of sequences of like length."""
-        vector = getattr(self, "_table", None)
-        if vector is None:
-            vector = self._table = lru_cache(150_000)(self._vector)
+        entry = getattr(self, "_table", None)
+        if entry is None:
+            entry = self._table = lru_cache(150_000)(self._entry)
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(sequences)
         order = [i for i in np.argsort([len(s) for s in sequences], kind="stable").tolist() if sequences[i]]
         moves = self.moves + self.allowed
@@ -220,8 +221,9 @@ class Crf:
             x = np.full((len(group), t), -1)
             for r, i in enumerate(group):
                 x[r, : len(sequences[i])] = [ids.setdefault(w, len(ids)) for w in sequences[i]]
-            table = np.concatenate([np.stack([vector(w) for w in ids]), np.zeros((1, len(OFFSETS), len(self.labels)), np.float32)])
-            groups_of = np.array([*(rough_kind(w, self.vocabulary.__contains__) for w in ids), 0])
+            entries = [entry(w) for w in ids]
+            table = np.concatenate([np.stack([v for v, _ in entries]), np.zeros((1, len(OFFSETS), len(self.labels)), np.float32)])
+            groups_of = np.array([*(k for _, k in entries), 0])
             e = _emissions(table, x) + self.around[self._around(groups_of[x])]  # -1 is the closing row of zeros
             score = self.start + self.first + e[:, 0]
             back = np.zeros((len(group), t, len(self.labels)), np.int8)

@@ -17,7 +17,7 @@ from lectern.llm.pii_table import ARABIC_GIVEN, GIVEN, ID_WORDS, KINDS, LABELS,
 from lectern.sources.tables import latest
 
 #: Pages whose lines without items stand around the marked ones in training, at most, and marked snippets of pages written.
-SAMPLE_PAGES, TRAIN_PAGES = 1_500, 8_000
+SAMPLE_PAGES, TRAIN_PAGES = 1_500, 11_000
 _DIGITS = re.compile(r"\d")
 _ITEM = re.compile(
     r"@(?!nightly)|\(at\)|\[at\]|mailto|\+\s?\d|\(\d{3}\)|\d{3}[-/. ]\d{3}|\d{2}\.\d{2}\.\d{2}\.\d{2}|\b0\d{9,}|P\.\s?O\.|Postfach|ص\.ب|\bApt\b|\bFlat\b|\b(?:Road|Street|Lane|Ave|Court|Row)\b|str\. \d|weg \d|gasse \d|"

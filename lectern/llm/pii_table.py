@@ -25,7 +25,7 @@ GIVEN = (
 ARABIC_GIVEN = "محمد أحمد فاطمة عائشة خالد ليلى يوسف مريم عبدالله سارة حسن زينب إبراهيم نورة طارق هدى سعيد أسماء مصطفى جمال علي عمر هند رنا سامي كريم حسين شهد وليد منى".split()
 FRONT = "Hart Berg Lind Stein Wald Mor Kel Bran Tor Val Fen Gar Dun Strö Pen Quin Ras Sul Or Has Nag Mül Bröt Zol Vel Ash Cald Jor Köh Lé Nañ Ara Vir Bou Kes Wex Ulv Hjor Dra Gries Dorn Pé Ñan Sør El Tres".split()
 BACK = "mann er son ley ton wick stad quist elho ino ez berg moor acre ander erly ette ough ivar hausen aux ik otto enza aldo ellan owe orez ein ini as ard".split()
-ARABIC_STEM = "بحر رمل نخل جبل صخر وادي مرج كرم شمس نجم فجر غيم حجر سدر قمر ندى رعد برق طيب حرب سلم دوس خزر عتب زهر هلل ورود زهور نخيل بساتين مدارس".split()
+ARABIC_STEM = "بحر رمل نخل جبل صخر وادي مرج كرم شمس نجم فجر غيم حجر سدر قمر ندى رعد برق طيب حرب سلم دوس خزر عتب زهر هلل ورود زهور نخيل بساتين مدارس ميناء سوق محطة حديقة".split()
 _TITLES = ["Dr. ", "Prof. ", "Mx ", "Dipl.-Ing. ", "Mr. ", "Ms ", "Frau ", "Herr ", "Dr ", "Sra. ", "Mme "]
 
 # How numbers of persons are named.
@@ -50,7 +50,7 @@ STREETS = {
     "fr": ["{n}, rue des {S}", "{n} bis rue de la {S}", "{n} rue {S}", "{n}, impasse du {S}", "{n} bis bd. de l'{S}", "{n}, bd. de l'{S}", "{n} bis bd. de l'{S}", "{n}, bd. {S}", "{n} bis bd. du {S}", "{n} bis bd. de l'{S}", "{n} bis impasse {S}", "{n} boulevard de l'{S}", "{n} avenue {S}", "{n}, avenue des {S}", "{n} quai {S}", "BP {n}", "{n}, place du {S}", "{n} bis avenue des {S}"],
     "es": ["C/ {S} {S} n.º {n}", "C/ {S} {S}, {n}, {m}º B", "Calle del {S} n.º {n}", "C/ {S}, {n}, {m}º B", "Avda. de la {S} n.º {n}", "Plaza del {S}, {n}", "Paseo {S} {n}", "Apdo. de Correos {n}", "Calle del {S}, {n}, {m}º A"],
     "pt": ["Rua das {S} {n}", "Av. do {S} {n}", "Travessa do {S}, {n}, {m}.º Esq.", "Largo da {S} {n}", "Rua {S}, {n}", "Caixa Postal {n}", "Apartado {n}", "Av. do {S}, {n}, {m}.º Dir."],
-    "ar": ["شارع {R} {n}", "شارع {R}، مبنى {n}، ص.ب {n}", "طريق {R}، مبنى {n}", "زقاق {R} {n}", "حي {R}، شارع {R} {n}", "ص.ب {n}", "ميدان {R}، عمارة {n}", "طريق {R} {n}"],
+    "ar": ["شارع {R} {n}", "شارع {R}، مبنى {n}، ص.ب {n}", "طريق {R}، مبنى {n}", "طريق {R} {n}", "شارع {R} {n}", "زقاق {R} {n}", "حي {R}، شارع {R} {n}", "ص.ب {n}", "ميدان {R}، عمارة {n}", "طريق {R} {n}"],
 }
 _STREET_STEMS = "Quarrel Mill Heron Bell Old Harbour Linden Rosen Garten Ufer Saules Four Écluse Moulin Prés Molino Olmo Horno Ribera Puente Cais Poço Fonte Amoreiras Ponte Tannery Cooper Birken Tannen Fähr Gerber Speicher Markt Brunnen Chênes Olivos Castelo".split()
 _STREET_TYPES = "Road Street St. Lane Ave Avenue Court Row Close Drive Way Race Place Square Hill Terrace".split()
@@ -76,7 +76,9 @@ NO_ITEMS = [
     "The {S} {T} scheme has {n} stops.", "Drew the plans of the {S} {T} depot, {n} sheets.", "Bauvorhaben {S}weg: {n} Pläne gezeichnet.", "Bauvorhaben {S}straße, {n} Pläne.", "Chantier Rue {S} : {n} plans.", "Chantier Avenue {S}, {n} plans.", "Obra Calle {S}: {n} planos.", "Obra Plaza {S}, {n} planos.",
     "Obra Rua {S}: {n} plantas.", "Obra Largo {S}, {n} plantas.", "مشروع طريق {R} وفيه {n} محطة.", "مشروع شارع {R}، رسم {n} مخططا.", "Filed {d} {d}00 000 entries.", "{d} {d}00 000 Zeilen je Woche.", "Jusqu'à {d} {d}00 000 lignes.", "Unas {d} {d}00 000 filas.", "Order PO-20{m}-{n} closed in {m} days.", "Project {S} {T} with {n} people.", "Projekt {S}gasse, {n} Leute.", "Projet Rue {S}, {n} personnes.", "Proyecto Calle {S} con {n} personas.", "Projeto Rua {S} com {n} pessoas.",
 ]
-HEADERS = ["Lebenslauf {name}", "Résumé: {name}", "Résumé - {name}", "Profile - {name}", "Dossier - {name}   {p}", "Bewerbung - {name}", "Dossier    {name}", "{name} / Résumé", "{name}  |  CV", "{name}, {job}", "{name}  |  CV   {p}", "CV {name}", "CV of {name}   {p}", "File of {name}", "{name} - {p}", "Application of {name}"]
+# Forms of numbers that are no items: amounts, tickets, orders, versions, standards, certificates.
+NUMBERS = ["{d} {d}00 000", "{m}{d} 000", "{d}.{d}00.000", "{d},{d}00,000", "TKT-20{m}-{n}", "PO {n}-{n}", "v{d}.{m}.{n}", "{d}.{d}.{m}.{n}", "ISO {n}:20{m}", "n° {n}{m}", "No. {n}-{m}"]
+HEADERS = ["{job} - {name}", "{job} - {name}", "{job}    {name}", "{job} - {name}   {p}", "Lebenslauf {name}", "Résumé: {name}", "Résumé - {name}", "Profile - {name}", "Dossier - {name}   {p}", "Bewerbung - {name}", "Dossier    {name}", "{name} / Résumé", "{name}  |  CV", "{name}, {job}", "{name}  |  CV   {p}", "CV {name}", "CV of {name}   {p}", "File of {name}", "{name} - {p}", "Application of {name}"]
 REFEREES = ["{name}, {org}", "{name}, {org}, {email}", "{name}, {org}, {phone}", "{name}, {org} - {phone}", "{name}, {org}, Tel. {phone}", "{name}, {org}, {email}", "{name} ({org})", "{org}: {name}"]
 SEPARATORS = [" | ", " · ", ", ", "  ", "  ", "  ", "  ", "\n", "\n", "\n"]
 HEADINGS = "References|Referenzen|Références|Referencias|Referências|المراجع".split("|")
@@ -169,9 +171,11 @@ class Writer:
         r = self.r
         words = r.choice(self.plain).split(" ")
         at = r.randrange(len(words) + 1)
-        kind = r.choice(["name"] * 6 + ["email", "phone", "phone", "addr", "addr"])
+        if r.random() < 0.15:
+            return [(" ".join([*words[:at], self.fill(r.choice(NUMBERS)), *words[at:]]), None)]
+        kind = r.choice(["name"] * 6 + ["email", "phone", "phone", "phone", "addr", "addr"])
         lead = f"{r.choice(self.words)} " * (r.random() < 0.5)
-        open_, close = r.choice([("", "")] * 5 + [("(", ")"), (": ", ""), ("", ","), ("", ".")])
+        open_, close = r.choice([("", "")] * 5 + [("(", ")"), ("(", ")"), (": ", ""), ("", ","), ("", ".")])
         return [(" ".join([*words[:at], lead]).strip() + " " * (at > 0 or bool(lead)) + open_, None), self.slot(kind), (close + " " * (at < len(words)) + " ".join(words[at:]), None)]
 
     def page(self, only: str | None = None) -> tuple[list[str], list[int]]:
@@ -181,7 +185,7 @@ class Writer:
         add = lambda t: parts.extend([*self.line(t), ("\n", None)])
         some = lambda most: [parts.append((r.choice(self.plain) + "\n", None)) for _ in range(r.randrange(most + 1))]
         bullet = lambda: r.choice(["", "", "- ", "• "])
-        kind = "only" if only else r.choices(["top", "line", "inserted", "none", "bare", "referees", "details", "header"], [14, 18, 30, 12, 8, 8, 8, 7])[0]
+        kind = "only" if only else r.choices(["top", "line", "inserted", "none", "bare", "referees", "details", "header"], [14, 18, 30, 12, 8, 8, 8, 10])[0]
         if kind not in ("top", "only"):
             some(2)
         if kind == "only":
