@@ -111,6 +111,12 @@ def all_phones(text: Column) -> Column:
     return F.aggregate(keyed, empty, lambda acc, x: F.when(F.exists(acc, lambda y: y["key"] == x["key"]), acc).otherwise(F.concat(acc, F.array(x))))
 
 
+def term_stem(term: Column) -> Column:
+    """What a small text must contain if ``term_pattern`` finds the term in it."""
+    t = norm(term)
+    return F.when((F.length(t) > 3) & t.endswith("s") & ~t.endswith("ss"), F.regexp_replace(t, "s$", "")).otherwise(t)
+
+
 def term_pattern(term: Column) -> Column:
     """A pattern that finds a term as whole words, case aside, in singular or plural of its last word."""
     t = F.regexp_replace(norm(term), r"([\\.+*?()\[\]{}|^$#-])", r"\\$1")

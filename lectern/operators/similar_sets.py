@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from lectern.sources.shared import stored
 
 
-def shingles(words, k: int = 5):
+def shingles(ws, k: int = 5):
     """Distinct hashes of the runs of k words of an array; a shorter text is one shingle."""
-    whole = F.array(F.xxhash64(F.array_join(words, " ")))
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(k)), " ")))
-    return F.array_distinct(F.when(F.size(words) >= k, runs).otherwise(whole))
+    whole = F.array(F.xxhash64(F.array_join(ws, " ")))
+    runs = F.transform(F.sequence(F.lit(1), F.size(ws) - k + 1), lambda i: F.xxhash64(F.array_join(F.slice(ws, i, F.lit(k)), " ")))
+    return F.array_distinct(F.when(F.size(ws) >= k, runs).otherwise(whole))
+
+
+def words(text):
+    """The words of a text in small letters."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
 def similar_texts(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, k: int = 5) -> DataFrame:
@@ -22,10 +27,11 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, threshold: float =
     have them, rarest first, and only the first size - ceil(t * size) + 1 are joined on, which every pair of that similarity shares; pairs are then verified on their whole sets. Shingles of one class
     only join nothing and aren't sent. Null ids and null texts drop out; a text without words is a class of its own kind, linked to nothing; an empty table gives an empty result.
     """
-    words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"([\p{L}\p{N}]+)"), 1)
-    rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), words.alias("w")).select("id", "w", F.sha2(F.array_join("w", " "), 256).alias("h"))
+    given = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    rows = stored(given.select("id", F.sha2(F.array_join(words(F.col("t")), " "), 256).alias("h")))  # texts are read for their hash, and those of representatives once more
     classes = rows.groupBy("h").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
-    sets = stored(rows.join(classes, (F.col("id") == F.col("class_id")) & (rows["h"] == classes["h"]), "left_semi").dropDuplicates(["id"]).where("size(w) > 0").select("id", shingles(F.col("w"), k).alias("s")))
+    chosen = given.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    sets = stored(chosen.select("id", words(F.col("t")).alias("w")).where("size(w) > 0").select("id", shingles(F.col("w"), k).alias("s")))
     each = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("x"))
     many = each.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
     shared = each.join(many, "x").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("o"))  # at most a text's shingles

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.functions.dates import ascii_digits
+from lectern.functions.dates import ascii_digits, bind
 from lectern.plans.registry import CURRENT, PAGES, Registry
 from lectern.sources.shared import small
 from lectern.sources.tables import current_profiles, latest, table
@@ -105,11 +105,11 @@ pt as (select term_id, term, '(?i)(^|[^{T.WORD_CLASS}])' || stem || case when re
 select term_id, term, cast(count(distinct p.page_id) as bigint) as pages, cast(count(distinct p.profile_id) as bigint) as profiles from pt left join {PAGES} p on regexp_matches(p.text, pattern) group by all""")
 def term_verify(spark, sf_dir):
     """Pages and profiles on which each reference skill stands as whole words, in singular or plural; the list of terms is small and fixed."""
-    terms = table(spark, sf_dir, "skill_terms").select("term_id", "term", T.term_pattern(F.col("term")).alias("pattern"))
+    terms = table(spark, sf_dir, "skill_terms").select("term_id", "term", T.term_pattern(F.col("term")).alias("pattern"), T.term_stem(F.col("term")).alias("stem"))
     few = terms.limit(MOST_TERMS + 1).collect()
     p = table(spark, sf_dir, "cv_pages").where("page_id is not null and text is not null")
     if few and len(few) <= MOST_TERMS:  # each pattern is compiled once; a page is read once for all terms
-        found = F.array_compact(F.array(*[F.when(F.col("text").rlike(t.pattern), F.lit(t.term_id)) for t in few if t.pattern]))
+        found = bind(F.lower("text"), lambda low: F.array_compact(F.array(*[F.when(low.contains(t.stem) & low.rlike(t.pattern), F.lit(t.term_id)) for t in few if t.pattern])))
         met = pages(spark, sf_dir, profile_id=F.col("profile_id"), t=found).select("page_id", "profile_id", F.explode("t").alias("term_id"))
     else:
         met = p.join(terms, F.expr("text rlike pattern")).select("page_id", "profile_id", "term_id")
