@@ -51,3 +51,14 @@ def test_operator(spark, rows):
     assert 901 not in main and None not in main and main[902].lang == "fr" and not main[903].label_right and main[904].lang == "pt"
     assert len([r for r in got if r.item_id == 0]) == 1 and all(0 < r.confidence <= 1 for r in got)
     assert languages(df.limit(0)).count() == 0
+
+
+def test_short_paragraphs_and_the_label_speak(spark):
+    """A paragraph of four words is enough if they are clear; names and skills stay with the main language, whatever the label says."""
+    base = [("document", i, "s", f"h{i % 5}", t, lab) for i, (t, lab, _) in enumerate(corpus(200))]
+    de = " ".join(SENTENCES["de"])
+    data = [*base, ("document", 900, "s", "h1", f"{de}\n\nNous menons le travail.\n\n{de}", "fr"), ("document", 901, "s", "h1", f"{de}\n\nPython, Kafka, Anna Berg, Norvik 1999", "de"), ("document", 902, "s", "h1", f"{de}\n\n{SENTENCES['ar'][0]}", None)]
+    got = languages(spark.createDataFrame(data, "origin string, item_id bigint, source string, host string, text string, label string")).collect()
+    of = lambda i: [(r.seg_no, r.lang) for r in got if r.item_id == i]
+    assert of(900) == [(0, "de"), (2, "fr")] and of(901) == [(0, "de")] and of(902) == [(0, "de"), (2, "ar")]
+    assert all(r.confidence > 0.5 for r in got if r.seg_no > 0)
