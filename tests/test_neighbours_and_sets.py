@@ -54,6 +54,31 @@ def test_similar_texts_against_brute_force(spark, rows):
     assert rows(similar_texts(df.limit(0), "doc_id", "text")) == []
 
 
+def test_similar_texts_near_the_threshold(spark, tmp_path):
+    """Many texts of one boilerplate with a few runs changed, on both sides of the threshold; nothing is broadcast by an estimate of its size."""
+    import re
+
+    r = random.Random(7)
+    base = [[r.choice([f"w{i}" for i in range(400)]) for _ in range(r.choice([6, 12, 40, 90]))] for _ in range(12)]
+    texts = []
+    for b in base:
+        for _ in range(12):
+            c = [*b, *(f"x{r.randrange(9)}" for _ in range(r.randrange(len(b) // 6 + 1)))][r.randrange(len(b) // 8 + 1) :]
+            for _ in range(r.randrange(3)):
+                c[r.randrange(len(c))] = f"y{r.randrange(3)}"
+            texts.append(" ".join(c))
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/t.parquet")
+    found = similar_texts(spark.read.parquet(f"{tmp_path}/t.parquet"), "doc_id", "text")
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    sets = {}
+    for i, t in enumerate(texts):
+        w = re.findall(r"\w+", t)
+        sets.setdefault(t, (i, frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) or frozenset([tuple(w)])))
+    links = {i: sum(1 for j, y in sets.values() if i != j and len(x & y) * 10 >= 8 * len(x | y)) for i, x in sets.values()}
+    assert sum(links.values()) > 50
+    assert {r.id: (r.class_id, r.links) for r in found.collect()} == {i: (sets[t][0], links[sets[t][0]]) for i, t in enumerate(texts)}
+
+
 def test_odd_lengths_hide_no_neighbour(spark):
     data = [(i, [float(i), 1.0]) for i in range(1, 30)] + [(40, [1.0, 2.0, 3.0]), (41, [0.0, 0.0])]
     df = spark.createDataFrame(data, "id bigint, v array<double>")
