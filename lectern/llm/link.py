@@ -1,7 +1,8 @@
 """Profiles of one person under different spellings of the name.
 
 1. Every profile is sent to the places where its evidence stands: contacts that belong to no crowd, dated roles.
-2. There a prefix-filtered set-similarity join on the q-grams of name tokens finds the names that may be spellings of one. It is the only source of pairs.
+2. There a prefix-filtered set-similarity join on the q-grams of name tokens finds the names that may be spellings of one. Where few names meet they are compared each with each; where many do,
+   tokens that are alike without common q-grams (initials, swapped letters, short words) are found by keys that all alike tokens share.
 3. Each pair is verified by soft weighted token similarity, in which rare tokens count more, and by what contacts and careers say together.
 """
 
@@ -12,7 +13,7 @@ import math
 import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import groupby
+from itertools import combinations, groupby
 from zlib import crc32
 
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.dates import parse_month
-from lectern.llm.names import alike, nicknames, parse, similarity, skeleton
+from lectern.llm.names import _first_sound, alike, nicknames, parse, similarity, skeleton
 from lectern.sources.shared import small, stored
 from lectern.sources.tables import current_profiles
 
@@ -30,6 +31,8 @@ TOKEN_SIMILARITY, Q = 0.25, 2
 NAME_SIMILARITY, NAME_FLOOR = 0.8, 0.4
 #: A contact with more families than this on it belongs to no person and is no evidence; spellings of a family name count once.
 SHARED_BY = 4
+#: Names of one piece of evidence up to which each is compared with each. Letters of a token from which only tokens of about its length are compared with it, instead of by what letters left out leave.
+FEW_NAMES, LONG_TOKEN = 12, 16
 #: Profiles of one piece of evidence that meet in one task, and places of the table of gram frequencies.
 BLOCK, GRAM_PLACES = 2_000, 1 << 16
 _DIGITS = str.maketrans("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
@@ -230,8 +233,80 @@ class NameJoin:
                                     yield pair
 
 
+def _left_out(w: str, most: int) -> set[str]:
+    """What is left of a word by leaving out up to ``most`` letters: words so many edits apart have one of these in common."""
+    out = last = {w}
+    for _ in range(most):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        out = out | last
+    return out
+
+
+@lru_cache(50_000)
+def alike_keys(token: str) -> tuple[frozenset, frozenset]:
+    """Keys of which any two tokens that are ``alike`` by more than a half have one in common: those of whole tokens, and those that count where one of the two is an initial."""
+    bone = skeleton(token)
+    first = {("=", token[0]), *(("s", c) for c in _first_sound(token)), *((("b", x[0]),) if (x := bone if not token.isascii() else token) else ())}
+    if len(token) == 1:
+        return frozenset({("=", token)}), frozenset(first)
+    keys = {("=", token), *(("#", k) for k in nicknames(token)), *((("~", bone),) if bone else ())}
+    if len(token) >= LONG_TOKEN - 2:
+        keys |= {("n", n) for n in range(len(token) - 2, len(token) + 3)}
+    if 3 <= len(token) < LONG_TOKEN:
+        keys |= {("e", x) for x in _left_out(token, 2 if len(token) > 5 else 1)}
+    if len(bone) > 2:
+        keys |= {("n~", n) for n in range(len(bone) - 1, len(bone) + 2)} if len(bone) >= LONG_TOKEN - 1 else set()
+        keys |= {("e~", x) for x in _left_out(bone, 1)} if len(bone) < LONG_TOKEN else set()
+    return frozenset(keys), frozenset(first)
+
+
+def alike_names(join: NameJoin, names: list[tuple[tuple[str, ...], tuple[float, ...]]]) -> Iterator[tuple[int, int]]:
+    """(i, j), i < j, of all distinct names (tokens, weights) with a soft similarity of NAME_FLOOR or more; what the join on q-grams finds, and the others."""
+
+    def similar(i: int, j: int) -> bool:
+        w = dict(zip(*names[i], strict=True)) | dict(zip(*names[j], strict=True))
+        return similarity(list(names[i][0]), list(names[j][0]), w.__getitem__) >= NAME_FLOOR
+
+    if len(names) <= FEW_NAMES:
+        yield from (p for p in combinations(range(len(names)), 2) if similar(*p))
+        return
+    found = set(join.pairs(names))
+    yield from found
+    having: dict[str, set[int]] = {}
+    for i, (tokens, _) in enumerate(names):
+        for t in tokens:
+            having.setdefault(t, set()).add(i)
+    whole: dict[tuple, list[str]] = {}
+    spelled: dict[tuple, list[str]] = {}
+    for t in having:
+        keys, first = alike_keys(t)
+        for k in keys:
+            whole.setdefault(k, []).append(t)
+        for k in first:
+            spelled.setdefault(k, []).append(t)
+    near: dict[str, set[int]] = {}
+    for t in having:
+        keys, first = alike_keys(t)
+        others = {u for k in keys for u in whole[k]} | {u for k in first for u in spelled[k] if len(t) == 1 or len(u) == 1}
+        near[t] = set().union(*(having[u] for u in others if alike(t, u) > 0.5))
+    tried = set()
+    for i, (tokens, weights) in enumerate(names):
+        # A token that is matched with an initial counts by its own weight, or by an initial's where that stands in the shorter name: one of the heaviest is matched in the shorter.
+        rest, least = sum(weights), NAME_FLOOR * sum(weights)
+        for k in sorted(range(len(tokens)), key=lambda k: -weights[k]):
+            if rest < least - 1e-9:
+                break
+            rest -= weights[k]
+            for j in near[tokens[k]]:
+                pair = (i, j) if i < j else (j, i)
+                if j != i and pair not in found and pair not in tried:
+                    tried.add(pair)
+                    if similar(*pair):
+                        yield pair
+
+
 def candidates(names: DataFrame, keys: DataFrame, counts: Sequence[int]) -> DataFrame:
-    """Distinct (a, b), a < b, of profiles that share evidence and whose names the join on q-grams finds alike; names (id, tokens, w), keys (id, h).
+    """Distinct (a, b), a < b, of profiles that share evidence and whose names are softly similar by NAME_FLOOR or more; names (id, tokens, w), keys (id, h).
 
     What a piece of evidence brings together passes through one task, or, where more than BLOCK profiles have it, in pairs of blocks through as many tasks as it takes. Equal names
     are compared once, and their profiles paired without a comparison.
@@ -253,8 +328,8 @@ def candidates(names: DataFrame, keys: DataFrame, counts: Sequence[int]) -> Data
                 continue
             held = list(by_name.values())
             met = ((x, y) for ids in held for k, x in enumerate(ids) for y in ids[:k])
-            alike_names = ((x, y) for i, j in join.pairs(list(by_name)) for x in held[i] for y in held[j])
-            for (a, ma), (b, mb) in (p for ps in (met, alike_names) for p in ps):
+            similar = ((x, y) for i, j in alike_names(join, list(by_name)) for x in held[i] for y in held[j])
+            for (a, ma), (b, mb) in (p for ps in (met, similar) for p in ps):
                 if lo == hi or ma != mb:
                     out.append((a, b) if a < b else (b, a))
                     if len(out) == 20_000:

@@ -93,3 +93,23 @@ def test_links(spark, rows):
     assert rows(linked(df)) == [(1, 2), (40, 41), (5, 6), (8, 9)]
     assert linked(df.limit(0)).count() == 0
     assert token_stats(df).where("token = 'lindstad'").select("family").first()[0] is True
+
+
+def test_every_pair_over_the_floor_is_a_candidate(spark, rows):
+    """Initials, swapped letters and short words have no q-grams in common; few names and many give all pairs."""
+    from lectern.llm.link import FEW_NAMES, alike_names
+
+    r = random.Random(9)
+    given = ["anna", "ana", "e", "elisabeth", "liz", "ali", "علي", "خالد", "khaled", "maria", "amrai", "li", "il", "abc", "acb", "ع"]
+    family = ["b", "berg", "abcdef", "bacdfe", "isterivar", "siterivra", "lindstad", "g", "garrino", "قرعداني", "qardani", "wolfeschlegelsteinhausen", "wolfeshclegelsteinhasuen", "x" * 5000]
+    weight = {t: r.uniform(1, 9) if len(t) > 1 else 0.3 for t in given + family}
+    names = list(dict.fromkeys((t := tuple(r.sample(given, r.choice([0, 1, 1, 2]))) + (r.choice(family),), tuple(weight[x] for x in t)) for _ in range(200)))
+    close = lambda a, b: similarity(list(a[0]), list(b[0]), (dict(zip(*a, strict=True)) | dict(zip(*b, strict=True))).__getitem__) >= NAME_FLOOR
+    want = {(i, j) for j in range(len(names)) for i in range(j) if close(names[i], names[j])}
+    join = NameJoin([0] * GRAM_PLACES)
+    assert set(alike_names(join, names)) == want and len(want - set(join.pairs(names))) > 100
+    few = names[:FEW_NAMES]
+    assert set(alike_names(join, few)) == {p for p in want if p[1] < FEW_NAMES}
+
+    p = lambda i, name: (i, name, ["a@x.example"], [], None, [], [], "x")
+    assert rows(linked(people(spark.createDataFrame([p(1, "Ann Strngk"), p(2, "Ann Tsrnkg"), *[(k, f"Ann Wick{chr(87 + k)}", [], [], None, [], [], "x") for k in range(10, 14)]], SCHEMA)))) == [(1, 2)]
