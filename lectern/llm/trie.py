@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from array import array
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 # What a scan makes of characters; each text on the left may be read as any on the right.
 CONFUSIONS = {
@@ -45,6 +45,13 @@ class Trie:
         self.words, self.counts = [w for w, _ in both], array("q", (n for _, n in both))
         self.root = _Node(0, len(self.words), 0)
 
+    @classmethod
+    def of(cls, words: Sequence[str], counts: Sequence[int]) -> Trie:
+        """Of sorted words that stand elsewhere, with their counts."""
+        out = cls(())
+        out.words, out.counts, out.root = words, counts, _Node(0, len(words), 0)
+        return out
+
     def kids(self, node: _Node) -> dict[str, _Node]:
         if node.children is None:
             node.children, words, d = {}, self.words, node.depth
